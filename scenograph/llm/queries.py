@@ -1,2 +1,39 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the operators on training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scenograph.llm import lookalikes, terms
+from scenograph.tables import current_rows, read
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct plain value of categories and entity_type with its frequency and mark."""
+    rows = current_rows(read(spark, d, "entities"), "entity_uuid", ["categories", "entity_type"])
+    return terms.term_frequencies(rows, {"categories": "categories", "entity_type": "entity_type"})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_counts(spark, d).where("mark is not null").select("field", "term", "mark")
+
+
+def _texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [("chunks", read(spark, d, "chunks"), "chunk_uuid", "content"), ("entities", read(spark, d, "entities"), "entity_uuid", "keyword")]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = [lookalikes.rows_with_cases(df, key, text).select(F.lit(name).alias("src_table"), F.col(key).alias("row_uuid")) for name, df, key, text in _texts(spark, d)]
+    return a.unionByName(b)
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every current text that is not in it already."""
+    a, b = [lookalikes.changed_forms(df, key, text).select(F.lit(name).alias("src_table"), F.col(key).alias("row_uuid"), "form") for name, df, key, text in _texts(spark, d)]
+    return a.unionByName(b)
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+
+SQL: dict[str, str] = {}
