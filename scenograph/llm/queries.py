@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenograph.llm import lookalikes, terms
+from scenograph.llm import leakage, lookalikes, terms
 from scenograph.tables import current_rows, read
 
 
@@ -34,6 +34,16 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: its task and the number of documents that contain it."""
+    per_item = p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return per_item.join(read(spark, d, "eval_items").select("item_id", "lang", "task"), "item_id")
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}
