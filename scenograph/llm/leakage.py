@@ -316,7 +316,7 @@ def _search(spark, docs: DataFrame, block: list, rule: Rule, exact: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in textform.slices(whole, 1)):
             cps, offs = stream(b.column(1))
             hits: set[tuple[int, int]] = set()
             for d, i, start, end, low, high in regions(cps, offs, index, rule.edits).tolist():

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenograph.llm.textform import normalize
+from scenograph.llm.textform import normalize, slices
 
 
 def with_form(df: DataFrame, text: str, form: str = "form", case: str = "has_case", only_changed: bool = False) -> DataFrame:
@@ -23,13 +24,11 @@ def with_form(df: DataFrame, text: str, form: str = "form", case: str = "has_cas
     schema = T.StructType([*base.schema.fields, T.StructField(form, T.StringType()), T.StructField(case, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, whole.schema.get_field_index(text))):
             texts = b.column(b.schema.get_field_index(text)).cast(pa.string())
             forms, flags = normalize(texts)
             forms = forms.cast(pa.string())
             if only_changed:
-                import pyarrow.compute as pc
-
                 forms = pc.if_else(pc.equal(forms, texts), pa.scalar(None, pa.string()), forms)
             yield pa.RecordBatch.from_arrays([*b.columns, forms, pa.array(np.asarray(flags))], names=[*b.schema.names, form, case])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenograph.llm import leakage, lookalikes, terms
+from scenograph.llm import leakage, lookalikes, packing, terms
 from scenograph.tables import current_rows, read
 
 
@@ -34,6 +34,16 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in containers of 4,096 tokens."""
+    return packing.packed_documents(read(spark, d, "documents")).withColumnRenamed("item", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Number of containers by unused tokens, the measure of the packing."""
+    return packing.fill(p6_packed(spark, d)).groupBy("unused").agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
@@ -44,6 +54,6 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return per_item.join(read(spark, d, "eval_items").select("item_id", "lang", "task"), "item_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}

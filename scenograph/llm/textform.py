@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LIMIT = 0x110000
 #: Classes of characters as bits.
@@ -144,8 +146,6 @@ def strings(cps: np.ndarray, offs: np.ndarray, null: np.ndarray | None = None) -
     starts = np.concatenate((np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)])).astype(np.int64)
     out = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(starts[offs].tobytes()), pa.py_buffer(text))
     if null is not None and null.any():
-        import pyarrow.compute as pc
-
         out = pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), out)
     return out
 
@@ -216,6 +216,17 @@ def _compose(t: Tables, cps: np.ndarray, row: np.ndarray) -> np.ndarray:
     return cps
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts together have at most `most` bytes (or one row), so that memory does not grow with the texts of a batch."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def normalize_points(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, offsets, flag per text) in the consistent form; the flag says that a text held a case as TESTDATA.md lists them."""
     t = tables()
