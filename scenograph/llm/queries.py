@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenograph.llm import leakage, lookalikes, packing, terms
+from scenograph.llm import leakage, lookalikes, packing, setpairs, terms
 from scenograph.tables import current_rows, read
 
 
@@ -34,6 +34,20 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    return current_rows(read(spark, d, "entities"), "entity_uuid", ["aliases", "categories"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = setpairs.similar_rows(_sets(spark, d), "entity_uuid", ["aliases", "categories"])
+    return pairs.select(F.col("key_a").alias("entity_uuid_a"), F.col("key_b").alias("entity_uuid_b"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity's class of equal sets and the number of classes similar to it."""
+    return setpairs.linked_classes(_sets(spark, d), "entity_uuid", ["aliases", "categories"]).withColumnRenamed("key", "entity_uuid")
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in containers of 4,096 tokens."""
     return packing.packed_documents(read(spark, d, "documents")).withColumnRenamed("item", "doc_id")
@@ -54,6 +68,6 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return per_item.join(read(spark, d, "eval_items").select("item_id", "lang", "task"), "item_id")
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}
