@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenograph.llm import leakage, lookalikes, packing, setpairs, terms
+from scenograph.llm import leakage, lookalikes, packing, setpairs, subjects, terms
 from scenograph.tables import current_rows, read
 
 
@@ -68,6 +68,19 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return per_item.join(read(spark, d, "eval_items").select("item_id", "lang", "task"), "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(read(spark, d, "documents"), read(spark, d, "subjects"), read(spark, d, "subject_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject, the composition of the corpus."""
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_composition": p8_composition, "p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}
