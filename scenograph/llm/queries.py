@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenograph.llm import leakage, lookalikes, packing, setpairs, subjects, terms
+from scenograph.llm import leakage, lookalikes, names, packing, setpairs, subjects, terms
 from scenograph.tables import current_rows, read
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    rows = current_rows(read(spark, d, "entities"), "entity_uuid", ["novel_hash", "vol_num", "entity_type", "keyword", "aliases"])
+    return rows.select(F.col("entity_uuid").alias("id"), F.concat_ws("|", "novel_hash", "vol_num").alias("grp"), F.col("entity_type").alias("type"), "keyword", "aliases")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(_named(spark, d)).select(F.col("a").alias("entity_uuid_a"), F.col("b").alias("entity_uuid_b"))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each row that names a person or organisation, with the smallest uuid of the rows that name the same."""
+    linked = names.linked_rows(_named(spark, d))
+    least = linked.groupBy("entity").agg(F.min("id").alias("same_as"))
+    return linked.join(least, "entity").select(F.col("id").alias("entity_uuid"), "same_as")
+
+
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct plain value of categories and entity_type with its frequency and mark."""
     rows = current_rows(read(spark, d, "entities"), "entity_uuid", ["categories", "entity_type"])
@@ -81,6 +97,6 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_composition": p8_composition, "p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p8_found": p8_found, "p8_composition": p8_composition, "p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}

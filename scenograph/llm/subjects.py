@@ -213,7 +213,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
     """At most how.sample labelled documents, chosen by a hash of the id; a subject counts if any reader named it, case and blanks aside."""
     named = labels.select(F.col(doc_id).alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).where(F.col("doc_id").isNotNull() & F.col("subject").isin([x.lower() for x in subjects]))
     per_doc = named.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(per_doc, "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(how.sample).toPandas()
+    # the sample's ids are at most how.sample rows, so they are broadcast and texts are not shuffled
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(per_doc), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(how.sample).toPandas()
     y = np.zeros((len(rows), len(subjects)), bool)
     for i, names in enumerate(rows.subjects):
         for s, name in enumerate(subjects):
