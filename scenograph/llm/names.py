@@ -98,11 +98,30 @@ def _han_person(s: str, foreign_given: set[str]) -> list[Form]:
         s = s[1:]
     if len(s) < 3 or s in foreign_given or s[0] in "小阿":
         return [("short", s, "", "", False)]
-    if len(s) > 4:
+    if len(s) > 5:
         return [("PF", s, "", "", True)]
+    if len(s) > 3:  # a word before or after a native name, a slip, or a foreign name without its dot
+        return [("PF", s, "", "", True), ("PZ", s[-3:], s[-2:], s[-3], False), ("PZ", s[:3], s[1:3], s[0], False)]
     return [("PZ", s, s[1:], s[0], True)]
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion, replacement or swap of neighbours makes a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    return len(b) - len(a) == 1 and a[i:] == b[i + 1 :]
+
+
+def _class_word(t: str) -> str:
+    """The kind of organisation that a word spells, typed right or with one slip; else the word."""
+    if t in CLASSES or len(t) < 5:
+        return CLASSES.get(t, t)
+    return next((c for w, c in CLASSES.items() if len(w) > 4 and _one_edit(t, w)), t)
+
+
 def _body(s: str) -> list[Form]:
     """An organisation; empty where no word says that it is one."""
     if HAN.search(s):
@@ -120,7 +139,7 @@ def _body(s: str) -> list[Form]:
     comma = s.split(",")
     s = " ".join(comma[1:] + comma[:1]) if len(comma) == 2 else s
     tokens = [t for t in re.findall(r"[a-zœæß\d]+", s.replace("-", ""))]
-    words = [CLASSES.get(t, t) for t in tokens if t not in SMALL_WORDS]
+    words = [_class_word(t) for t in tokens if t not in SMALL_WORDS]
     cls = [w for w in words if w in CLASSES.values()]
     rest = [w for w in words if w not in CLASSES.values()]
     if not cls or not rest:
@@ -313,7 +332,7 @@ def _weak_edges(all_forms, full, pairs, named, strong, first, node, row) -> Data
     spelled = spelled.select("grp", "id", F.concat_ws("\u0001", F.lit("init"), "initial", "key").alias("weak"), F.explode(F.array(F.concat("given", "hit"), F.concat("hit", "given"))).alias("key"))
     by_initial = spelled.select("grp", "id", "weak", node(F.lit("PL"), "key").alias("q"))
 
-    close = strong.where("space = 'PL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit")).unionByName(pairs.where("space = 'PL' and distance = 1").select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))).distinct()
+    close = strong.where("space = 'PL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit")).unionByName(pairs.where("space = 'PL'").where((F.col("distance") == 1) | (_letters("a") == _letters("b"))).select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))).distinct()
     nick_hits = named.join(close, ["grp", "key"]).select("grp", "id", "weak", F.col("hit").alias("key")).unionByName(named.select("grp", "id", "weak", "key"))
     by_nick = nick_hits.select("grp", "id", F.concat_ws("\u0001", F.lit("nick"), "weak").alias("weak"), node(F.lit("PL"), "key").alias("q"))
 
