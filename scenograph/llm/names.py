@@ -30,15 +30,16 @@ ZH_PREFIX = "老小阿"
 CLASSES = {
     "order": "order", "ord": "order", "guild": "guild", "gld": "guild", "company": "company", "co": "company", "cmpy": "company", "trading": "trading",
     "trdg": "trading", "academy": "academy", "acad": "academy", "acdmy": "academy", "ordre": "ordre", "guilde": "guilde", "compagnie": "compagnie",
-    "cie": "compagnie", "academie": "academie", "church": "church", "league": "league", "society": "society", "brotherhood": "brotherhood",
+    "cie": "compagnie", "gde": "guilde", "academie": "academie", "church": "church", "league": "league", "society": "society", "brotherhood": "brotherhood",
 }
 ZH_CLASSES = {"商會": "商會", "商行": "商會", "騎士團": "騎士團", "騎團": "騎士團", "教團": "教團", "教會": "教團", "學院": "學院", "書院": "學院"}
 SMALL_WORDS = {"of", "the", "du", "de", "des", "la", "le", "l", "d", "and", "et"}
+SWAPPED = {"".join(sorted(w)) for w in SMALL_WORDS}  # small words with their letters swapped
 PLACEHOLDER = re.compile(r"(none|null|nil|nan|n/?a|unknown|undefined|unnamed|inconnue?|未知|無|无|不明|無名|某人|路人|行人|旁人|男子|女子|男人|女人|少年|少女|老人|[-?？.…_]*|(未知人物|未知|無名|角色|人物|路人|character|person|figure|personnage)\s*[-_#]?\s*([0-9０-９]*|[a-z]|[甲乙丙丁一二三四五六七八九十]+))", re.I)
 PEOPLE, BODIES, CONCEPTS, NEITHER = {"character", "person", "角色", "人物", "personnage"}, {"organisation", "organization", "組織"}, {"concept", "概念"}, {"location", "place", "地點", "object", "item", "物品", "lieu", "objet"}
 
 #: Radius of each space: Latin persons and organisations may differ by two edits before the rules judge, ideographs by one.
-RADIUS = {"PL": 2, "PZ": 1, "PF": 1, "OL": 2, "OZ": 1, "SL": 1}
+RADIUS = {"PL": 2, "PZ": 1, "PF": 1, "OL": 2, "OZ": 1, "SL": 2}
 HAN = re.compile("[㐀-鿿]")
 
 
@@ -139,7 +140,7 @@ def _body(s: str) -> list[Form]:
     comma = s.split(",")
     s = " ".join(comma[1:] + comma[:1]) if len(comma) == 2 else s
     tokens = [t for t in re.findall(r"[a-zœæß\d]+", s.replace("-", ""))]
-    words = [_class_word(t) for t in tokens if t not in SMALL_WORDS]
+    words = [_class_word(t) for t in tokens if t not in SMALL_WORDS and "".join(sorted(t)) not in SWAPPED]
     cls = [w for w in words if w in CLASSES.values()]
     rest = [w for w in words if w not in CLASSES.values()]
     if not cls or not rest:
@@ -261,7 +262,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     judged = judged.join(words.select(F.col("w").alias("ga"), F.lit(True).alias("fa")), "ga", "left").join(words.select(F.col("w").alias("gb"), F.lit(True).alias("fb")), "gb", "left")
     both_known = F.col("fa") & F.col("fb") & (F.col("ga") != F.col("gb"))
     swap = _letters("a") == _letters("b")
-    each_once = (F.levenshtein("ga", "gb") <= 1) & (F.levenshtein("sa", "sb") <= 1) & (F.col("ga") != "") & (F.col("gb") != "")
+    each_once = (F.levenshtein("ga", "gb") <= 1) & (F.levenshtein("sa", "sb") <= 1) & (F.col("ga") != "") & (F.col("gb") != "") & (F.length("a") >= 14)
     signs = F.when(F.length("a") == F.length("b"), F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p.x != p.y)[0])
     judged = judged.withColumn("x", F.least(signs.x, signs.y)).withColumn("y", F.greatest(signs.x, signs.y)).join(confused, ["x", "y"], "left")
     token = F.split("ga", " "), F.split("gb", " ")
@@ -272,7 +273,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     ok = (
         F.when(F.col("space") == "PL", ~F.coalesce(both_known, F.lit(False)) & ((F.col("distance") == 1) | swap | F.coalesce(each_once, F.lit(False))))
         .when(F.col("space") == "OL", ~two_words & ((F.col("distance") == 1) | swap | (F.length("a") >= 14)))
-        .when(F.col("space") == "PF", ~F.coalesce(both_known, F.lit(False)) & (F.length("a") >= 5))
+        .when(F.col("space") == "PF", F.col("confused").isNotNull() | (~F.coalesce(both_known, F.lit(False)) & (F.length("a") >= 5)))
         .otherwise(F.col("confused").isNotNull() | ((F.length("a") != F.length("b")) & (F.least(F.length("a"), F.length("b")) >= 4)))
     )
     strong = judged.where(ok).select("grp", "space", "a", "b").distinct()
@@ -300,7 +301,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
 
 def _confused(full: DataFrame) -> DataFrame:
     """Pairs of ideographs (x < y) typed for one another: names of one row that differ in this one place, in two rows at least."""
-    names = full.where("found and space in ('PZ', 'OZ')").select("id", "space", "key").distinct()
+    names = full.where("found and space in ('PZ', 'PF', 'OZ')").select("id", "space", "key").distinct()
     two = names.alias("l").join(names.alias("m"), ["id", "space"]).where("l.key < m.key and length(l.key) = length(m.key)").select("id", F.col("l.key").alias("a"), F.col("m.key").alias("b"))
     signs = F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p.x != p.y)
     one = two.withColumn("s", signs).where("size(s) = 1")
@@ -315,7 +316,7 @@ def _nicknames(all_forms: DataFrame, full: DataFrame) -> DataFrame:
     beside = names.alias("l").join(names.alias("m"), ["id", "surname"]).where("l.given <> m.given").select("id", F.col("l.given").alias("nick"), F.col("m.given").alias("full_given"))
     alone = short.join(names, "id").select("id", "nick", F.col("given").alias("full_given"))
     often = names.groupBy("given").agg(F.count("*").alias("n"))
-    counts = beside.unionByName(alone).where("nick <> full_given and levenshtein(nick, full_given) > 2").groupBy("nick", "full_given").agg(F.countDistinct("id").alias("rows")).where("rows >= 2")
+    counts = beside.unionByName(alone).where(F.levenshtein("nick", "full_given") > 1).where(_letters("nick") != _letters("full_given")).groupBy("nick", "full_given").agg(F.countDistinct("id").alias("rows")).where("rows >= 2")
     counts = counts.join(often.select(F.col("given").alias("full_given"), F.col("n").alias("nf")), "full_given").join(often.select(F.col("given").alias("nick"), F.col("n").alias("nn")), "nick", "left")
     return materialize(counts.where("nf > 3 * coalesce(nn, 0)").select("nick", "full_given"), "nicknames")
 
@@ -323,7 +324,7 @@ def _nicknames(all_forms: DataFrame, full: DataFrame) -> DataFrame:
 def _weak_edges(all_forms, full, pairs, named, strong, first, node, row) -> DataFrame:
     """Edges of forms that fit several people, where all they fit is one component."""
     label = first.withColumnRenamed("node", "q")
-    surnames = pairs.where("space = 'SL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))
+    surnames = pairs.where((F.col("space") == "SL") & ((F.col("distance") == 1) | (_letters("a") == _letters("b")))).select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))
     initials = all_forms.where("space = 'init'").select("grp", "id", "key", F.col("given").alias("initial"))
     same = initials.select("grp", "key", F.col("key").alias("hit")).distinct()
     families = all_forms.where("space = 'SL'").select("grp", F.col("key").alias("hit"), "given", F.substring("given", 1, 1).alias("initial")).distinct()
