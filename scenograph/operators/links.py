@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenograph.functions.ids import scene_key, uuid5
 
+# Fixed value: the namespace of scene uuids.
+NAMESPACE = uuid.UUID("6f3a1e4c-2a93-4b5e-9c3a-1c4d9e7f0a11")
+
 
 def chunk_uuid() -> Column:
-    return uuid5(scene_key())
+    """The uuid that a scene's place gives, the same on every run."""
+    return uuid5(scene_key(), NAMESPACE)
 
 
 def to_entities(chunks: DataFrame, entities: DataFrame) -> DataFrame:

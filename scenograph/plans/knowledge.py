@@ -10,6 +10,7 @@ from scenograph.functions import text as X
 from scenograph.functions.ids import tenant_hash
 from scenograph.functions.vectors import bucket, certainty, cosine
 from scenograph.operators import catalog, links, merge, retrieval, scenes
+from scenograph.plans.knowledge_sql import SQL  # noqa: F401
 from scenograph.tables import current_rows, read
 
 CHUNKS = ["chunk_uuid", "novel_hash", "vol_num", "scene_index", "title", "content", "token_count", "entity_refs", "written_at"]
@@ -189,10 +190,10 @@ def link_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_delete(spark: SparkSession, d: str) -> DataFrame:
-    """Both layers without the last volume of every novel."""
+    """Both layers without the volumes of French novels."""
     c, e = chunks(spark, d, "novel_hash", "vol_num"), entities(spark, d, "novel_hash", "vol_num")
-    last = c.groupBy("novel_hash").agg(F.max("vol_num").alias("vol_num"))
-    left = links.delete_volumes(c, last).select(F.lit("chunks").alias("layer"), "novel_hash").unionByName(links.delete_volumes(e, last).select(F.lit("entities").alias("layer"), "novel_hash"))
+    doomed = c.join(read(spark, d, "novels").where("lang = 'fr'").select("novel_hash"), "novel_hash", "left_semi")
+    left = links.delete_volumes(c, doomed).select(F.lit("chunks").alias("layer"), "novel_hash").unionByName(links.delete_volumes(e, doomed).select(F.lit("entities").alias("layer"), "novel_hash"))
     return left.groupBy("layer", "novel_hash").agg(F.count("*").alias("left_rows"))
 
 
@@ -328,8 +329,8 @@ def tenants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_prune(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes per novel of volumes 2 to 4."""
-    return chunks(spark, d, "novel_hash", "vol_num").where("vol_num between 2 and 4").groupBy("novel_hash").agg(F.count("*").alias("scenes"))
+    """Scenes per novel of volumes 1 to 4."""
+    return chunks(spark, d, "novel_hash", "vol_num").where("vol_num between 1 and 4").groupBy("novel_hash").agg(F.count("*").alias("scenes"))
 
 
 QUERIES = {
@@ -343,5 +344,3 @@ QUERIES = {
         mention_fold, label_cosine, boundary_fold_cap, fragment_merge, semantic_breaks, tenants, volume_prune,
     )
 }
-
-SQL: dict[str, str] = {}
