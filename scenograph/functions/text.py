@@ -107,7 +107,7 @@ def strip_template_tokens(text: Column | str) -> Column:
     """Without channel blocks, turn marks and stray special tokens of chat templates."""
     out = F.regexp_replace(_c(text), r"(?s)<\|channel\|?>.*?<\|?channel\|>", "")
     out = F.regexp_replace(out, r"(?s)<start_of_turn>\w*|<end_of_turn>", "")
-    return F.trim(F.regexp_replace(out, r"(?s)<\|[^<>]*?\|>", ""))
+    return F.regexp_replace(F.regexp_replace(out, r"(?s)<\|[^<>]*?\|>", ""), r"\A\s+|\s+\z", "")
 
 
 def front_matter(text: Column | str) -> Column:

@@ -7,8 +7,8 @@ simple   a key with any null refers to nothing and is satisfied
 partial  the given columns must agree with some target
 full     a key is either wholly null (satisfied) or wholly given; a mixed one is an orphan
 
-Both sides are hash-partitioned on the key. Targets are reduced to one row a key before the join, so a join never multiplies rows, and a key that a
-third of all references share is split by adaptive skew handling on the reference side.
+Both sides are hash-partitioned on the key. Targets are reduced to one row a key before the join, so a join never multiplies rows. Keys that very many
+references share are found by a pre-aggregated count and met by a broadcast of their few target rows instead, so no task holds all of a hot key.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MATCHES = ("simple", "partial", "full")
 
 
-def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "simple", state: dict[str, Column] | None = None, fault: Column | None = None) -> DataFrame:
+def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "simple", state: dict[str, Column] | None = None, fault: Column | None = None, hot_rows: int = 1_000_000) -> DataFrame:
     """Rows of refs whose key has no target, with a column `reason`.
 
     keys: columns by the same name in both frames. state: aggregates over the targets of one key, named; the expression `fault` over these names and the
@@ -48,7 +48,14 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "
         there = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])).groupBy(*[F.col(k).alias(f"_t_{k}") for k in on])
         aggregates = [v.alias(f"_s_{n}") for n, v in state.items()] + [F.lit(True).alias("_there")]
         there = there.agg(*aggregates)
-        joined = mine.join(there, [F.col(k) == F.col(f"_t_{k}") for k in on], "left")
+        # keys of more than hot_rows references: at most one for each hot_rows rows, so they and their targets are small enough to broadcast
+        hot = mine.groupBy(*[F.col(k).alias(f"_h_{k}") for k in on]).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+        same = [F.col(k) == F.col(f"_t_{k}") for k in on]
+        is_hot = [F.col(k) == F.col(f"_h_{k}") for k in on]
+        cold = mine.join(F.broadcast(hot), is_hot, "left_anti").join(there, same, "left")
+        few = there.join(F.broadcast(hot), [F.col(f"_t_{k}") == F.col(f"_h_{k}") for k in on], "left_semi")
+        warm = mine.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(few), same, "left")
+        joined = cold.unionByName(warm)
         named = joined.select(*columns, "_there", *[F.col(f"_s_{n}").alias(n) for n in state])
         parts.append(named.withColumn("reason", F.when(F.col("_there").isNull(), "missing").otherwise(fault)).where("reason is not null").select(*columns, "reason"))
     if not parts:

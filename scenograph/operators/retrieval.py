@@ -15,6 +15,15 @@ from scenograph.functions.vectors import certainty, sparse_vectors
 
 STRONG, KEEP, CONTENT_LEAST, CONTENT_STRONG = 0.75, 0.62, 0.10, 0.35
 K1, B = 1.2, 0.75
+SALTS = 8  # parts into which the documents of a novel and term are dealt; queries, the small stated side, go to each
+
+
+def _dealt(docs: DataFrame, keys: list[str]) -> DataFrame:
+    return docs.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+
+
+def _to_each(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -82,7 +91,7 @@ def bm25(queries: DataFrame, docs: DataFrame, scope: list[str], doc_keys: list[s
     whole = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.avg("dl").alias("avgdl")))  # one row each
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     terms = queries.select(*scope, *query_keys, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    scored = terms.join(tf, scope + ["term"]).join(df, "term").join(lengths, scope + doc_keys).crossJoin(F.broadcast(whole))
+    scored = _to_each(terms).join(_dealt(tf, doc_keys), scope + ["term", "_salt"]).join(df, "term").join(lengths, scope + doc_keys).crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy(*scope, *query_keys, *doc_keys).agg(F.sum(score).alias("bm25"))
@@ -92,7 +101,7 @@ def sparse_near(queries: DataFrame, docs: DataFrame, scope: list[str], doc_keys:
     """(scope, query_keys, doc_keys, cosine) of all documents that share a bucket of the hashed-token vector with the query."""
     q = sparse_vectors(queries, scope + query_keys, query_text).withColumnRenamed("weight", "wq")
     d = sparse_vectors(docs, scope + doc_keys, text).withColumnRenamed("weight", "wd")
-    return q.join(d, scope + ["bucket"]).groupBy(*scope, *query_keys, *doc_keys).agg(F.sum(F.col("wq") * F.col("wd")).alias("cosine"))
+    return _to_each(q).join(_dealt(d, doc_keys), scope + ["bucket", "_salt"]).groupBy(*scope, *query_keys, *doc_keys).agg(F.sum(F.col("wq") * F.col("wd")).alias("cosine"))
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], query_keys: list[str], alpha: float = 0.5) -> DataFrame:

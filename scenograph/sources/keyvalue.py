@@ -31,7 +31,9 @@ def get(spark: SparkSession, base: str, schema: StructType, **keys) -> DataFrame
     rows = spark.read.schema(guarded).option("columnNameOfCorruptRecord", "_corrupt").json(base)
     for k, v in keys.items():
         rows = rows.where(F.col(k) == v)
-    return rows.where("_corrupt is null").drop("_corrupt")
+    # a value is looked at as well, since Spark does not read records for the corrupt column alone
+    data = [f.name for f in schema.fields]
+    return rows.where(F.col("_corrupt").isNull() & (F.to_json(F.struct(*data)) != "")).drop("_corrupt")
 
 
 def list_keys(spark: SparkSession, base: str, schema: StructType, keys: list[str]) -> DataFrame:

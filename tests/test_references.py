@@ -20,8 +20,9 @@ TARGETS = "a string, b int, extra string"
 def test_match_semantics(spark, match, expected):
     refs = spark.createDataFrame([(1, "x", 1, None), (2, "x", 2, "e"), (3, "x", None, "e"), (4, None, 7, "e"), (5, None, None, "e")], REFS)
     targets = spark.createDataFrame([("x", 1, "other"), ("x", 1, "other"), (None, 3, "other")], TARGETS)
-    got = orphans(refs, targets, ["a", "b"], match)
-    assert {(r.id, r.reason) for r in got.collect()} == expected
+    for hot_rows in (1_000_000, 0):  # all by the join, all by the broadcast for hot keys
+        got = orphans(refs, targets, ["a", "b"], match, hot_rows=hot_rows)
+        assert {(r.id, r.reason) for r in got.collect()} == expected
     assert got.columns == ["id", "a", "b", "extra", "reason"]
 
 
