@@ -216,8 +216,11 @@ def radius_join(points: DataFrame, radius: Column) -> DataFrame:
     sizes = keys.groupBy("grp", "space").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("least"))
     keys = materialize(keys.join(sizes, ["grp", "space"]).where("n > 1"), "keys")
     drawn = (F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.sqrt("n"))) == 0) | (F.col("key") == F.col("least.key"))
-    pivots = keys.where(drawn).select("grp", "space", F.col("key").alias("pivot"))
-    far = keys.drop("least", "n").join(pivots, ["grp", "space"]).withColumn("d", F.levenshtein("key", "pivot"))
+    # a large group's names are dealt to parts of about 2000, each of which meets all pivots of the group
+    part = F.ceil(F.col("n") / 2000).cast("int")
+    pivots = keys.where(drawn).select("grp", "space", F.col("key").alias("pivot"), F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+    keys = keys.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), part).cast("int"))
+    far = keys.drop("least", "n").join(pivots, ["grp", "space", "part"]).withColumn("d", F.levenshtein("key", "pivot"))
     cells = far.groupBy("grp", "space", "key", "found", "r").agg(F.collect_list(F.struct("d", "pivot")).alias("cells"), F.min(F.struct("d", "pivot")).alias("home"))
     cells = materialize(cells.select("grp", "space", "key", "found", "r", "home", F.explode(F.filter("cells", lambda c: c.d <= F.col("home.d") + 2 * F.col("r"))).alias("c")), "cells")
     home = cells.where("found and c = home").select("grp", "space", F.col("c.pivot").alias("pivot"), F.col("c.d").alias("db"), F.col("key").alias("b"))
