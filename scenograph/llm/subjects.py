@@ -27,7 +27,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 @dataclass(frozen=True)
 class Fit:
-    sample: int = 20_000  # labelled documents to fit on, at most
+    sample: int = 10_000  # labelled documents to fit on, at most
     features: int = 6_000  # features kept, at most
     least_documents: int = 3  # labelled documents that must hold a feature
     rounds: int = 2
