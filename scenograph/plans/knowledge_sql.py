@@ -180,6 +180,14 @@ select n.entity_uuid, n.version, coalesce(changes, '') as changes from n left jo
 select entity_uuid, reason <> '' as found, marked, reason from r where found or marked""",
     "label_cosine": """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e, list_transform(lead(embedding) over (partition by label order by vec_id), lambda x: x::double) as n from embeddings)
 select vec_id, round(list_cosine_similarity(e, n), 6) as cosine, round(greatest(0, 1 - (1 - list_cosine_similarity(e, n)) / 2), 6) as certainty from v where n is not null""",
+    "mention_fold": f"""with m as (select distinct * from mentions where {_VALUE('keyword')} not in ({_list(NO_KEYWORD)}) and not regexp_matches(trim(coalesce(keyword, '')), '{PLACEHOLDER}')),
+g as (select novel_hash, vol_num, keyword, count(*)::int as mentions, coalesce(array_to_string(list_sort(list(distinct scene_index) filter (where scene_index > 0)), '|'), '') as appeared_in from m group by all),
+t as (select novel_hash, vol_num, keyword, lower(trim(mention_type)) as ty, min((coalesce(scene_index, -1), coalesce(ordinal, -1), coalesce(mention_type, ''))) as place from m where trim(mention_type) <> '' group by all),
+tl as (select novel_hash, vol_num, keyword, list(ty order by place) as types from t group by all),
+a as (select novel_hash, vol_num, keyword, string_agg(distinct x, '|' order by x) as aliases from (select novel_hash, vol_num, keyword, unnest(aliases) as x from m) group by all),
+c as (select novel_hash, vol_num, keyword, string_agg(distinct x, '|' order by x) as categories from (select novel_hash, vol_num, keyword, unnest(categories) as x from m union all select novel_hash, vol_num, keyword, unnest(types[2:]) from tl) group by all)
+select g.novel_hash, g.vol_num, g.keyword, types[1] as entity_type, coalesce(aliases, '') as aliases, coalesce(categories, '') as categories, appeared_in, mentions
+from g left join tl using (novel_hash, vol_num, keyword) left join a using (novel_hash, vol_num, keyword) left join c using (novel_hash, vol_num, keyword)""",
     "boundary_fold_cap": _fold(0, True),
     "fragment_merge": _fold(128, False),
     "tenants": "select folder, substr(md5(folder), 1, 8) as hash from novels",
