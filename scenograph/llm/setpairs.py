@@ -60,23 +60,25 @@ def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int
     are compared all the same, by an equi-join on the node that adaptive skew handling may split; nothing is left out.
     """
     trees = trees_needed(threshold, branches, typical_depth, recall)
-    base = classes.select("id", F.transform("values", lambda v: F.xxhash64(v)).alias("rest")).where("size(rest) > 0")
-    level = base.select("id", F.col("rest").alias("tokens"), "rest", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"))
+    base = classes.select("id", F.transform("values", lambda v: F.xxhash64(v)).alias("tokens")).where("size(tokens) > 0")
+    level = base.select("id", "tokens", F.array().cast("array<bigint>").alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"))
     pairs = None
     for depth in range(1, most_depth + 1):
-        ranked = F.slice(F.array_sort(F.transform("rest", lambda t: F.struct(F.xxhash64("node", t).alias("node"), t.alias("t")))), 1, branches)
+        unused = F.size("path") < F.size("tokens")
+        ranked = F.slice(F.array_sort(F.transform(F.array_except("tokens", "path"), lambda t: F.struct(F.xxhash64("node", t).alias("node"), t.alias("t")))), 1, branches)
         # a set whose tokens are used up stays in its node, among those that contain it
-        steps = F.when(F.size("rest") > 0, ranked).otherwise(F.array(F.struct(F.col("node"), F.lit(0).cast("long").alias("t"))))
-        children = level.select("id", "tokens", "rest", F.explode(steps).alias("c")).select("id", "tokens", F.array_remove("rest", F.col("c.t")).alias("rest"), F.col("c.node").alias("node")).repartition("node")
+        steps = F.when(unused, ranked).otherwise(F.array(F.struct(F.col("node"), F.lit(None).cast("long").alias("t"))))
+        taken = F.when(F.col("c.t").isNull(), F.col("path")).otherwise(F.concat("path", F.array("c.t")))
+        children = level.select("id", "tokens", "path", F.explode(steps).alias("c")).select("id", "tokens", taken.alias("path"), F.col("c.node").alias("node")).repartition("node")
         counts = children.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         nodes = materialize(children.join(counts, "node"), f"nodes{depth}")
         done = nodes.where((F.col("n") <= small) | F.lit(depth == most_depth))
         pairs = _within(done, threshold) if pairs is None else pairs.unionByName(_within(done, threshold))
-        level = nodes.where(F.col("n") > small).select("id", "tokens", "rest", "node")
-        spent = level.where("size(rest) = 0")  # compared here and now with all of their node, as they cannot be split
+        level = nodes.where(F.col("n") > small).select("id", "tokens", "path", "node")
+        spent = level.where("size(path) = size(tokens)")  # compared here and now with all of their node, as they cannot be split
         if depth < most_depth:
             pairs = pairs.unionByName(_pairs(spent, level, threshold))
-            level = level.where("size(rest) > 0")
+            level = level.where("size(path) < size(tokens)")
             if level.isEmpty():
                 break
     found = materialize(pairs.distinct(), "pairs")
