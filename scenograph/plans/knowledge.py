@@ -9,7 +9,7 @@ from scenograph.functions import predicates as P
 from scenograph.functions import text as X
 from scenograph.functions.ids import tenant_hash
 from scenograph.functions.vectors import bucket, certainty, cosine
-from scenograph.operators import catalog, links, merge, retrieval, scenes
+from scenograph.operators import catalog, extraction, links, merge, retrieval, scenes
 from scenograph.plans.knowledge_sql import SQL  # noqa: F401
 from scenograph.tables import current_rows, read
 
@@ -324,6 +324,28 @@ def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
     return scenes.split_volumes(docs, ["doc_id"], "text").groupBy("doc_id").agg(F.countDistinct("section").alias("sections"), F.count("*").alias("pieces"), F.sum(F.length("piece_text")).alias("chars"), F.max("tokens").alias("largest"))
 
 
+def boundary_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Of each pair of neighbouring scenes, whether they belong together by the words at their seam."""
+    w = Window.partitionBy("novel_hash", "vol_num").orderBy("scene_index")
+    c = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "content").withColumn("before", F.lag(F.coalesce("content", F.lit(""))).over(w)).where("before is not null")
+    return c.select("chunk_uuid", extraction.together("before", F.coalesce("content", F.lit(""))).alias("together"))
+
+
+def extract_mentions(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "content").where("content is not null")
+    return extraction.extract_mentions(c).groupBy("novel_hash", "vol_num", "keyword").agg(F.count("*").alias("scenes"), F.sum("times").alias("times"))
+
+
+def merge_decisions(spark: SparkSession, d: str) -> DataFrame:
+    out = retrieval.similar_entities(questions(spark, d), entities(spark, d, "novel_hash", "vol_num", "entity_type", "keyword", "aliases", "description", "tainted"))
+    return extraction.decide(out)
+
+
+def entity_slim(spark: SparkSession, d: str) -> DataFrame:
+    out = extraction.slim(entities(spark, d))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("aliases", "categories")}).withColumn("description", F.md5("description"))
+
+
 def tenants(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "novels").select("folder", tenant_hash("folder").alias("hash"))
 
@@ -341,6 +363,7 @@ QUERIES = {
         novel_profile_top, entity_types, max_volume, find_entity_scenes, chunk_uuid5, chunk_upsert_latest, rechunk_resets_refs, entity_refs_backfill, chunk_to_entities,
         entity_to_chunks, link_consistency, volume_delete, orphan_cleanup, structural_split, sentence_split, volume_number, truncate_tokens, identity_text, content_text,
         json_blob_agrees, mention_filter, final_guard, token_buckets, merge_canonical_name, merge_alias_union, merge_type_lock, merge_status_changes, taint_detect,
-        mention_fold, label_cosine, boundary_fold_cap, fragment_merge, semantic_breaks, tenants, volume_prune,
+        mention_fold, label_cosine, boundary_fold_cap, fragment_merge, semantic_breaks, tenants, volume_prune, boundary_decisions,
+        extract_mentions, merge_decisions, entity_slim,
     )
 }

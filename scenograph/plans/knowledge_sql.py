@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scenograph.functions.predicates import NO_CONTEXT, NO_KEYWORD, PLACEHOLDER
 from scenograph.functions.text import TOKEN
+from scenograph.operators.extraction import NAME
 
 CUR = """with chunks_ as (select * from chunks where chunk_uuid is not null qualify row_number() over (partition by chunk_uuid order by written_at desc) = 1),
 entities_ as (select * from entities where entity_uuid is not null qualify row_number() over (partition by entity_uuid order by written_at desc) = 1)"""
@@ -190,6 +191,17 @@ select g.novel_hash, g.vol_num, g.keyword, types[1] as entity_type, coalesce(ali
 from g left join tl using (novel_hash, vol_num, keyword) left join a using (novel_hash, vol_num, keyword) left join c using (novel_hash, vol_num, keyword)""",
     "boundary_fold_cap": _fold(0, True),
     "fragment_merge": _fold(128, False),
+    "boundary_decisions": CUR + f""", p as (select chunk_uuid, coalesce(content, '') as content, lag(coalesce(content, '')) over (partition by novel_hash, vol_num order by scene_index) as before from chunks_),
+t as (select chunk_uuid, list_distinct({_tokens('right(before, 400)')}) as a, list_distinct({_tokens('left(content, 400)')}) as b from p where before is not null)
+select chunk_uuid, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0) >= 0.05, true) as together from t""",
+    "extract_mentions": CUR + f""", n as (select novel_hash, vol_num, scene_index, unnest(regexp_extract_all(content, '{NAME}')) as keyword, content from chunks_ where content is not null),
+k as (select * from n where {_VALUE('keyword')} not in ({_list(NO_KEYWORD)}) and not regexp_matches(keyword, '{PLACEHOLDER}'))
+select novel_hash, vol_num, keyword, count(distinct scene_index) as scenes, count(*) as times from k group by all""",
+    "merge_decisions": _GATE + ", b as (select * from s qualify row_number() over (partition by mention_id order by round(score, 9) desc, entity_uuid) = 1) select mention_id, case when rule <= 2 then 0 else -1 end as selected_index, case when rule <= 2 then entity_uuid end as entity_uuid from b",
+    "entity_slim": CUR + """, j as (select *, content::json as j from entities_) select entity_uuid, coalesce(nullif(j->>'$.keyword', ''), keyword, '') as keyword, coalesce(nullif(j->>'$.type', ''), entity_type, '') as type,
+  md5(coalesce(nullif(j->>'$.description', ''), description, '')) as description,
+  coalesce(array_to_string(list_filter(case when json_array_length(j, '$.aliases') > 0 then (j->'$.aliases')::varchar[] else coalesce(aliases, []) end, lambda x: x is not null), '|'), '') as aliases,
+  coalesce(array_to_string(list_filter(case when json_array_length(j, '$.categories') > 0 then (j->'$.categories')::varchar[] else coalesce(categories, []) end, lambda x: x is not null), '|'), '') as categories from j""",
     "tenants": "select folder, substr(md5(folder), 1, 8) as hash from novels",
     "volume_prune": CUR + " select novel_hash, count(*) as scenes from chunks_ where vol_num between 1 and 4 group by all",
 }

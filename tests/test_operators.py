@@ -141,3 +141,33 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in keyvalue.get(spark, base, df.schema).select("k", "v").collect()} == {(1, "a"), (2, "c")}
     assert keyvalue.get(spark, base, df.schema, k=1).count() == 1 and keyvalue.get(spark, base + "-none", df.schema).count() == 0
     assert [r.k for r in keyvalue.list_keys(spark, base, df.schema, ["k"]).collect()] == [1, 2]
+
+
+def test_extraction_and_decisions(spark):
+    from scenograph.operators import extraction
+
+    s = spark.createDataFrame([("n", 1, 1, "He met Anna Lorne. Anna Lorne left.\nRain fell on Zoé Pell."), ("n", 1, 2, None)], "novel_hash string, vol_num int, scene_index int, content string")
+    got = {(r.keyword, r.times, r.context_summary) for r in extraction.extract_mentions(s).collect()}
+    assert got == {("Anna Lorne", 2, "He met Anna Lorne."), ("Zoé Pell", 1, "Rain fell on Zoé Pell.")}
+    c = spark.createDataFrame([("m", "e2", 3, 0.9), ("m", "e1", 1, 0.95), ("k", "e1", 3, 0.5)], "mention_id string, entity_uuid string, rule int, score double")
+    assert {tuple(r) for r in extraction.decide(c).collect()} == {("m", 0, "e1"), ("k", -1, None)}
+    seams = spark.createDataFrame([("the bell rang", "a bell fell", True), ("a b c", "x y z", False), ("", "", True)], "a string, b string, want boolean")
+    assert all(r.got == r.want for r in seams.select("want", extraction.together("a", "b").alias("got")).collect())
+    e = spark.createDataFrame([("u", '{"keyword": "K", "aliases": [], "description": ""}', "C", ["a"], None, "t", "d")], "entity_uuid string, content string, keyword string, aliases array<string>, categories array<string>, entity_type string, description string")
+    assert tuple(extraction.slim(e).first()) == ("u", "K", "t", "d", ["a"], [])
+    assert extraction.shown(e.withColumn("_x", F.lit(1)).withColumn("uuid", F.lit(2))).columns == e.columns
+
+
+def test_settings_tables_and_appearances(spark, tmp_path):
+    from scenograph.config import Settings
+    from scenograph.schemas import create_tables
+
+    spark.conf.set("spark.scenograph.top_k", "7")
+    assert Settings.of(spark) == Settings(top_k=7)
+    spark.conf.unset("spark.scenograph.top_k")
+    for _ in range(2):
+        create_tables(spark, "layers", str(tmp_path / "db"))
+    assert {r.tableName for r in spark.sql("show tables in layers").collect()} == {"chunks", "entities"}
+    spark.sql("drop database layers cascade")
+    df = spark.createDataFrame([([3], 5), ([3, 5], 5), (None, 5), ([3], 0)], "a array<int>, s int")
+    assert [r[0] for r in df.select(links.append_scene("a", "s")).collect()] == [[3, 5], [3, 5], [5], [3]]
