@@ -17,7 +17,16 @@ def bucket(token: Column | str, buckets: int = BUCKETS) -> Column:
 
 def sparse_vectors(df: DataFrame, keys: list[str], text: str, buckets: int = BUCKETS) -> DataFrame:
     """(keys, bucket, weight) with unit length per key: counts of hashed tokens. Texts without tokens have no rows."""
-    counts = df.select(*keys, F.explode(tokens(text)).alias("t")).select(*keys, bucket("t", buckets).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").cast("double").alias("c"))
+    return unit(bucket_counts(df, keys, text, buckets), keys)
+
+
+def bucket_counts(df: DataFrame, keys: list[str], text: str, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, bucket, c): hashed tokens counted."""
+    return df.select(*keys, F.explode(tokens(text)).alias("t")).select(*keys, bucket("t", buckets).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").cast("double").alias("c"))
+
+
+def unit(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts (keys, bucket, c) brought to unit length per key: (keys, bucket, weight)."""
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     return counts.join(norms, keys).select(*keys, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 

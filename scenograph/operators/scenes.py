@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scenograph.functions.text import estimated_tokens, sentence_split, structural_split
-from scenograph.functions.vectors import sparse_vectors
+from scenograph.functions.text import SENTENCE_END, TOKEN, estimated_tokens, sentence_split, structural_split
+from scenograph.functions.vectors import BUCKETS
 
 CAP, FLOOR = 4096, 128
 
@@ -20,23 +27,48 @@ def sentences(pieces: DataFrame, keys: list[str], text: str) -> DataFrame:
     return pieces.select(*keys, F.posexplode(sentence_split(text)).alias("pos", "sentence"))
 
 
+def _cut(text: str, buffer: int, share: float, known: dict[str, int]) -> list[str]:
+    """The pieces of one section; `known` remembers the buckets of words."""
+    parts = [x for x in re.split(SENTENCE_END, text) if x]
+    counts = np.zeros((len(parts), BUCKETS))
+    for i, part in enumerate(parts):
+        for word in re.findall(TOKEN, part.lower()):
+            if word not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % BUCKETS
+            counts[i, known[word]] += 1
+    if len(parts) < 2:
+        return parts
+    sums = np.concatenate((np.zeros((1, BUCKETS)), np.cumsum(counts, 0)))
+    at = np.arange(len(parts))
+    context = sums[np.minimum(at + buffer + 1, len(parts))] - sums[np.maximum(at - buffer, 0)]
+    length = np.linalg.norm(context, axis=1)
+    dot, norm = (context[:-1] * context[1:]).sum(1), length[:-1] * length[1:]
+    distance = np.round(1 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0), 9)
+    ends = np.flatnonzero(distance > np.percentile(distance, share * 100) + 1e-9) + 1
+    return ["".join(parts[x:y]) for x, y in zip([0, *ends], [*ends, len(parts)])]
+
+
 def semantic_pieces(pieces: DataFrame, keys: list[str], text: str, buffer: int = 3, share: float = 0.99) -> DataFrame:
     """(keys, piece, piece_text): a piece ends where the distance between neighbouring sentence contexts exceeds the section's percentile.
 
-    A sentence's context is it and `buffer` sentences on each side; distance is 1 - cosine of hashed-token vectors. Pieces joined give the section.
+    A sentence's context is it and `buffer` sentences on each side; distance is 1 - cosine of hashed-token vectors. Pieces joined give the section. A
+    section's cuts depend on it alone, so they are found where its text is and nothing is shuffled. Null and empty texts have no pieces.
     """
-    s = sentences(pieces, keys, text)
-    order = Window.partitionBy(*keys).orderBy("pos")
-    context = s.withColumn("context", F.array_join(F.collect_list("sentence").over(order.rowsBetween(-buffer, buffer)), " "))
-    v = sparse_vectors(context, [*keys, "pos"], "context")
-    after = v.select(*keys, (F.col("pos") - 1).alias("pos"), "bucket", F.col("weight").alias("w2"))
-    near = v.join(after, [*keys, "pos", "bucket"]).groupBy(*keys, "pos").agg(F.sum(F.col("weight") * F.col("w2")).alias("cosine"))
-    has_next = s.withColumn("last", F.lead("pos").over(order).isNull())
-    distance = has_next.join(near, [*keys, "pos"], "left").withColumn("distance", F.when(~F.col("last"), F.round(1 - F.coalesce("cosine", F.lit(0.0)), 9)))
-    limit = distance.groupBy(*keys).agg(F.percentile("distance", F.lit(share)).alias("limit"))
-    cut = distance.join(limit, keys).withColumn("ends", F.coalesce((F.col("distance") > F.col("limit") + 1e-9).cast("int"), F.lit(0)))
-    number = cut.withColumn("piece", F.coalesce(F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return number.groupBy(*keys, "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x.sentence), "").alias("piece_text"))
+    rows = pieces.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("piece_text"))
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("piece", T.IntegerType()), T.StructField("piece_text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            cut = [_cut(x, buffer, share, known) for x in b.column("piece_text").to_pylist()]
+            row = pa.array([i for i, c in enumerate(cut) for _ in c], pa.int64())
+            number = pa.array([k for c in cut for k in range(len(c))], pa.int32())
+            text = pa.array([x for c in cut for x in c], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in keys), number, text], names=[*keys, "piece", "piece_text"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def fold_pieces(pieces: DataFrame, keys: list[str], order: list[str], tokens: str, together: str, cap: int = CAP, floor: int = FLOOR) -> DataFrame:
