@@ -138,6 +138,9 @@ def radix_counts(partials: DataFrame, bits: int = 5, most_rows: int = 2_000_000,
         if local:
             os.makedirs(local, exist_ok=True)
             con.execute(f"set temp_directory='{local}/{os.getpid()}'")
+        else:  # a shared folder that is no file system path: partitions stay in memory, which their row bound allows
+            con.execute("set temp_directory=''")
+            con.execute(f"set memory_limit='{4 * memory_mb}MB'")
         schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
         con.execute("create table sums (field varchar, term varchar, occurrences bigint, records bigint)")
         for b in batches:
