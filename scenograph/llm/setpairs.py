@@ -3,14 +3,15 @@
 Equal sets are one class first, so copies cost nothing. In every tree each class walks down to the children of its `branches` first tokens under a
 random order of its node; two classes with Jaccard similarity t or more take a common step with a known least probability, since at most a share of 1 - t
 of either's tokens is foreign to the other. Nodes of one class end; nodes of at most `small` classes are compared pair by pair; larger ones are split
-again on the tokens not yet used. All trees go through a level together, in one job a level. The number of trees follows from the target recall. Every
-pair found is verified on the values themselves.
+again on the tokens not yet used. All trees go through a level together, in one job a level. The number of trees follows from the target recall at
+`typical_depth`; classes still in large nodes there are joined exactly, by prefixes of their rarest tokens. Every pair found is verified on the values.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +57,15 @@ def trees_needed(threshold: float, branches: int, depth: int, recall: float) ->
 def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int = 2, small: int = 32, recall: float = 0.9999, typical_depth: int = 2, most_depth: int = 12) -> DataFrame:
     """classes(id string, values array<string> of distinct values) -> distinct verified (id_a < id_b, similarity).
 
-    Pairs of similarity equal to the threshold count. Sets that are empty pair with nothing. Nodes still large at most_depth, or whose sets are used up,
-    are compared all the same, by an equi-join on the node that adaptive skew handling may split; nothing is left out.
+    Pairs of similarity equal to the threshold count. Sets that are empty pair with nothing. The recall holds at typical_depth, where the trees end: a pair
+    that meets there in a large node is found by the exact join of the rest, whatever the depth. Nodes of that join still large at most_depth, or whose
+    sets are used up, are compared all the same, by an equi-join on the node that adaptive skew handling may split; nothing is left out.
     """
     trees = trees_needed(threshold, branches, typical_depth, recall)
     base = classes.select("id", F.transform("values", lambda v: F.xxhash64(v)).alias("tokens")).where("size(tokens) > 0")
     level = base.select("id", "tokens", F.array().cast("array<bigint>").alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"))
     pairs = None
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, min(typical_depth, most_depth) + 1):
         unused = F.size("path") < F.size("tokens")
         ranked = F.slice(F.array_sort(F.transform(F.array_except("tokens", "path"), lambda t: F.struct(F.xxhash64("node", t).alias("node"), t.alias("t")))), 1, branches)
         # a set whose tokens are used up stays in its node, among those that contain it
@@ -72,15 +74,15 @@ def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int
         children = level.select("id", "tokens", "path", F.explode(steps).alias("c")).select("id", "tokens", taken.alias("path"), F.col("c.node").alias("node")).repartition("node")
         counts = children.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         nodes = materialize(children.join(counts, "node"), f"nodes{depth}")
-        done = nodes.where((F.col("n") <= small) | F.lit(depth == most_depth))
-        pairs = _within(done, threshold) if pairs is None else pairs.unionByName(_within(done, threshold))
+        done = _within(nodes.where(F.col("n") <= small), threshold)
+        pairs = done if pairs is None else pairs.unionByName(done)
         level = nodes.where(F.col("n") > small).select("id", "tokens", "path", "node")
-        spent = level.where("size(path) = size(tokens)")  # compared here and now with all of their node, as they cannot be split
-        if depth < most_depth:
-            pairs = pairs.unionByName(_pairs(spent, level, threshold))
-            level = level.where("size(path) < size(tokens)")
-            if level.isEmpty():
-                break
+        if level.isEmpty():
+            break
+    else:
+        # the trees are enough down to here only, so what is still in large nodes is joined without chance
+        rest = materialize(level.select("id", "tokens").dropDuplicates(["id"]), "rest")
+        pairs = reduce(DataFrame.unionByName, _prefix_pairs(rest, threshold, small, most_depth), pairs)
     found = materialize(pairs.distinct(), "pairs")
     a = classes.select(F.col("id").alias("id_a"), F.col("values").alias("a"))
     b = classes.select(F.col("id").alias("id_b"), F.col("values").alias("b"))
@@ -89,6 +91,31 @@ def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int
     return exact.where(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
 
 
+def _prefix_pairs(sets: DataFrame, threshold: float, small: int, most_depth: int) -> list[DataFrame]:
+    """sets(id, tokens) -> candidates with every similar pair among them, by prefixes that grow with the depth.
+
+    Tokens are ordered by rarity. Of n tokens a similar set shares at least o = ceil(threshold * n), so their first k common tokens are among the first
+    n - o + k of either, and the two meet in the node of these k. Large nodes are split by the next common token; a set that may share no more than k
+    is compared with all of its node.
+    """
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+    rare = sets.select("id", F.explode("tokens").alias("t")).join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
+    n = F.size("tokens")
+    level = rare.select("id", F.col("s.t").alias("tokens")).withColumn("o", F.ceil(threshold * n - 1e-9).cast("int")).withColumns({"node": F.lit(0).cast("long"), "at": F.lit(0)})
+    pairs = []
+    for depth in range(1, most_depth + 1):
+        steps = F.transform(F.sequence(F.col("at") + 1, n - F.col("o") + depth), lambda i: F.struct(F.xxhash64("node", F.element_at("tokens", i)).alias("node"), i.alias("at")))
+        children = level.select("id", "tokens", "o", F.explode(steps).alias("c")).select("id", "tokens", "o", "c.*")
+        nodes = materialize(children.join(children.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node"), f"prefixes{depth}")
+        pairs.append(_within(nodes.where((F.col("n") <= small) | F.lit(depth == most_depth)), threshold))
+        level = nodes.where((F.col("n") > small) & F.lit(depth < most_depth)).drop("n")
+        pairs.append(_pairs(level.where(F.col("o") <= depth), level, threshold))
+        level = level.where(F.col("o") > depth)
+        if depth < most_depth and level.isEmpty():
+            break
+    return pairs
+
+
 def _within(nodes: DataFrame, threshold: float) -> DataFrame:
     return _pairs(nodes, nodes, threshold)
 

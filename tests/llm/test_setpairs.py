@@ -62,3 +62,16 @@ def test_classes_and_empty(spark):
     assert similar_rows(df.where("false"), "id", ["tags"]).count() == 0
     assert {r.key: r["values"] for r in value_sets(df.limit(1), "id", ["key"]).collect()} == {"e0": []}
     assert trees_needed(0.6, 2, 2, 0.9999) < 12
+
+
+def test_deep_nodes_lose_no_pair(spark):
+    # sets of six beside sets of ten with four values more, similar by 0.6 exactly; all values are common, so nodes stay large far down
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        ten = rnd.sample([f"t{k:02}" for k in range(22)], 10)
+        rows += [(f"a{i:03}", ten, None, None, None), (f"b{i:03}", ten[:6], None, None, None)]
+    expected = brute(rows)
+    assert sum(abs(v - 0.6) < 1e-9 for v in expected.values()) >= 300
+    got = {(r.key_a, r.key_b) for r in similar_rows(spark.createDataFrame(rows, SCHEMA), "id", ["tags"], small=4).collect()}
+    assert got == expected.keys()
