@@ -40,6 +40,8 @@ PEOPLE, BODIES, CONCEPTS, NEITHER = {"character", "person", "角色", "人物",
 
 #: Radius of each space: Latin persons and organisations may differ by two edits before the rules judge, ideographs by one.
 RADIUS = {"PL": 2, "PZ": 1, "PF": 1, "OL": 2, "OZ": 1, "SL": 2}
+#: A word with less than this share of the persons of a word one edit away is a slip of it; signs and nicknames need such shares of their names and rows.
+SLIP_SHARE, SIGN_SHARE, NICK_SHARE = 0.1, 0.03, 0.05
 HAN = re.compile("[㐀-鿿]")
 
 
@@ -245,8 +247,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     full = materialize(full.join(alone, ["space", "key"], "left_anti"), "full")
 
     # what the whole table says: frequent given names and words, signs typed for one another, nicknames
-    words = full.where("main and found").select(F.explode(F.split(F.when(F.col("space").isin("PL", "PF"), F.col("given")).when(F.col("space") == "OL", F.col("given")), " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("wn"))
-    words = materialize(words.where("wn >= 5"), "words")
+    words = _known_words(full)
     confused = _confused(full)
     nick = _nicknames(all_forms, full)
 
@@ -262,7 +263,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     a = parts.select("grp", "space", F.col("key").alias("a"), F.col("given").alias("ga"), F.col("surname").alias("sa"))
     b = parts.select("grp", "space", F.col("key").alias("b"), F.col("given").alias("gb"), F.col("surname").alias("sb"))
     judged = pairs.where("space <> 'SL'").join(a, ["grp", "space", "a"]).join(b, ["grp", "space", "b"])
-    judged = judged.join(words.select(F.col("w").alias("ga"), F.lit(True).alias("fa")), "ga", "left").join(words.select(F.col("w").alias("gb"), F.lit(True).alias("fb")), "gb", "left")
+    judged = judged.join(words.select("space", F.col("w").alias("ga"), F.lit(True).alias("fa")), ["space", "ga"], "left").join(words.select("space", F.col("w").alias("gb"), F.lit(True).alias("fb")), ["space", "gb"], "left")
     both_known = F.col("fa") & F.col("fb") & (F.col("ga") != F.col("gb"))
     swap = _letters("a") == _letters("b")
     each_once = (F.levenshtein("ga", "gb") <= 1) & (F.levenshtein("sa", "sb") <= 1) & (F.col("ga") != "") & (F.col("gb") != "") & (F.length("a") >= 14)
@@ -271,7 +272,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     token = F.split("ga", " "), F.split("gb", " ")
     other = F.array_except(*token), F.array_except(*token[::-1])
     judged = judged.withColumn("oa", F.when((F.col("space") == "OL") & (F.size(other[0]) == 1), other[0][0])).withColumn("ob", F.when((F.col("space") == "OL") & (F.size(other[1]) == 1), other[1][0]))
-    judged = judged.join(words.select(F.col("w").alias("oa"), F.lit(True).alias("wa")), "oa", "left").join(words.select(F.col("w").alias("ob"), F.lit(True).alias("wb")), "ob", "left")
+    judged = judged.join(words.select("space", F.col("w").alias("oa"), F.lit(True).alias("wa")), ["space", "oa"], "left").join(words.select("space", F.col("w").alias("ob"), F.lit(True).alias("wb")), ["space", "ob"], "left")
     two_words = F.coalesce(F.col("wa") & F.col("wb"), F.lit(False))
     ok = (
         F.when(F.col("space") == "PL", ~F.coalesce(both_known, F.lit(False)) & ((F.col("distance") == 1) | swap | F.coalesce(each_once, F.lit(False))))
@@ -302,24 +303,41 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     return out.join(sure, "entity", "left_semi").select("id", "grp", "entity")
 
 
+def _known_words(full: DataFrame) -> DataFrame:
+    """(space, w): given names and organisations' words of five persons (names of a volume, however many rows) or more that are no slips of a neighbour."""
+    given = full.where("main and found and space in ('PL', 'PF', 'OL')").select("space", "grp", "key", F.explode(F.split("given", " ")).alias("w")).where("w <> ''")
+    words = materialize(given.groupBy("space", "w").agg(F.countDistinct("grp", "key").alias("wn")).where("wn >= 5"), "words")
+    # words one edit apart are equal when one sign, or none, is left out of either
+    less = F.transform(F.sequence(F.lit(0), F.length("w")), lambda i: F.xxhash64(F.concat(F.substring("w", F.lit(1), i), F.substring("w", i + 2, F.length("w")))))
+    v = words.select("space", "w", "wn", F.explode(F.array_distinct(less)).alias("v"))
+    near = v.alias("l").join(v.alias("m"), ["space", "v"]).where(F.col("l.wn") < SLIP_SHARE * F.col("m.wn"))
+    near = near.where((F.levenshtein("l.w", "m.w") == 1) | (_letters("l.w") == _letters("m.w"))).select("space", F.col("l.w").alias("w")).distinct()
+    return materialize(words.join(near, ["space", "w"], "left_anti").select("space", "w"), "known")
+
+
 def _confused(full: DataFrame) -> DataFrame:
-    """Pairs of ideographs (x < y) typed for one another: names of one row that differ in this one place, in two rows at least."""
-    names = full.where("found and space in ('PZ', 'PF', 'OZ')").select("id", "space", "key").distinct()
-    two = names.alias("l").join(names.alias("m"), ["id", "space"]).where("l.key < m.key and length(l.key) = length(m.key)").select("id", F.col("l.key").alias("a"), F.col("m.key").alias("b"))
+    """Pairs of ideographs (x < y) typed for one another: names of one row that differ in this one place, of two persons at least and of a share of the names with the rarer sign."""
+    names = full.where("found and space in ('PZ', 'PF', 'OZ')").select("id", "grp", "space", "key").distinct()
+    two = names.alias("l").join(names.alias("m"), ["id", "grp", "space"]).where("l.key < m.key and length(l.key) = length(m.key)").select("grp", F.col("l.key").alias("a"), F.col("m.key").alias("b"))
     signs = F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p.x != p.y)
     one = two.withColumn("s", signs).where("size(s) = 1")
-    counts = one.select(F.least(F.col("s")[0].x, F.col("s")[0].y).alias("x"), F.greatest(F.col("s")[0].x, F.col("s")[0].y).alias("y"), "id")
-    return materialize(counts.groupBy("x", "y").agg(F.countDistinct("id").alias("confused")).where("confused >= 2"), "confused")
+    first = F.get("s", F.lit(0))
+    counts = one.select(F.least(first.x, first.y).alias("x"), F.greatest(first.x, first.y).alias("y"), "grp", "a", "b").groupBy("x", "y").agg(F.countDistinct("grp", "a", "b").alias("confused")).where("confused >= 2")
+    uses = names.select("grp", "key").distinct().select(F.explode(F.array_distinct(F.split("key", ""))).alias("x")).groupBy("x").agg(F.count("*").alias("nx"))
+    counts = counts.join(uses, "x").join(uses.select(F.col("x").alias("y"), F.col("nx").alias("ny")), "y")
+    return materialize(counts.where(F.col("confused") >= SIGN_SHARE * F.least("nx", "ny")).select("x", "y", "confused"), "confused")
 
 
 def _nicknames(all_forms: DataFrame, full: DataFrame) -> DataFrame:
-    """(nick, full_given): given names that rows use for one person: beside the same surname, or alone beside a full name; seen in two rows at least."""
-    names = full.where("space = 'PL' and found and given <> ''").select("id", "given", "surname").distinct()
-    short = all_forms.where("space = 'short'").select("id", F.col("key").alias("nick")).distinct()
-    beside = names.alias("l").join(names.alias("m"), ["id", "surname"]).where("l.given <> m.given").select("id", F.col("l.given").alias("nick"), F.col("m.given").alias("full_given"))
-    alone = short.join(names, "id").select("id", "nick", F.col("given").alias("full_given"))
-    often = names.groupBy("given").agg(F.count("*").alias("n"))
-    counts = beside.unionByName(alone).where(F.levenshtein("nick", "full_given") > 1).where(_letters("nick") != _letters("full_given")).groupBy("nick", "full_given").agg(F.countDistinct("id").alias("rows")).where("rows >= 2")
+    """(nick, full_given): given names used for one person: beside the same surname, or alone beside a full name; of two persons at least and of a share of the nickname's."""
+    names = full.where("space = 'PL' and found and given <> ''").select("id", "grp", "given", "surname").distinct()
+    short = all_forms.where("space = 'short'").select("id", "grp", F.col("key").alias("nick")).distinct()
+    beside = names.alias("l").join(names.alias("m"), ["id", "grp", "surname"]).where("l.given <> m.given").select("grp", "surname", F.col("l.given").alias("nick"), F.col("m.given").alias("full_given"))
+    alone = short.join(names, ["id", "grp"]).select("grp", "surname", "nick", F.col("given").alias("full_given"))
+    often = names.select("grp", "given", "surname").distinct().groupBy("given").agg(F.count("*").alias("n"))
+    pairs = beside.unionByName(alone).where(F.levenshtein("nick", "full_given") > 1).where(_letters("nick") != _letters("full_given"))
+    counts = pairs.groupBy("nick", "full_given").agg(F.countDistinct("grp", "surname").alias("persons"))
+    counts = counts.join(counts.groupBy("nick").agg(F.sum("persons").alias("every")), "nick").where((F.col("persons") >= 2) & (F.col("persons") >= NICK_SHARE * F.col("every")))
     counts = counts.join(often.select(F.col("given").alias("full_given"), F.col("n").alias("nf")), "full_given").join(often.select(F.col("given").alias("nick"), F.col("n").alias("nn")), "nick", "left")
     return materialize(counts.where("nf > 3 * coalesce(nn, 0)").select("nick", "full_given"), "nicknames")
 

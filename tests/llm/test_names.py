@@ -106,6 +106,25 @@ def test_known_words_are_no_slips_and_ambiguous_initials_stay_apart(spark):
     assert linked == set()
 
 
+def test_repeated_slips_and_copies_are_no_known_words(spark):
+    people = [f"{a * 5}{b * 4}" for a in "bcdfghjklmnpqrs" for b in "tvwx"]
+    rows = [(f"n|{i}", "character", f"Hezekiah {s}", None) for i, s in enumerate(people)]
+    rows += [(f"n|{i}", "character", f"Hezeeiah {people[i]}", None) for i in range(5)]  # one slip, five times
+    rows += [(f"o|{g}", "character", f"Josephine {people[g]}", None) for g in range(6)]
+    rows += [("o|0", "character", f"Josephin {people[0]}", None)] * 6  # a slip in copies of one row
+    linked, _ = groups(spark, rows)
+    assert linked == {frozenset({i, 60 + i}) for i in range(5)} | {frozenset({65, *range(71, 77)})}
+
+
+def test_signs_and_nicknames_need_a_share(spark):
+    rows = [(f"n|{g}", "character", "柳白國", ["柳白藥"]) for g in range(2)] + [(f"o|{g}", "character", f"{chr(0x5F20 + g)}千{s}", None) for g in range(100) for s in "國藥"]
+    rows += [(f"p|{g}", "character", "Augustine Mordomark", ["Gus Mordomark"]) for g in range(1)] * 3  # copies of one person
+    rows += [(f"q|{g}", "character", f"Augustine {'abcdefghijklmn'[g] * 9}", None) for g in range(14)]
+    rows += [("m|1", "character", "Gus Stenvale", None), ("m|1", "character", "Augustine Stenvale", None), ("m|1", "character", "宋千國", None), ("m|1", "character", "宋千藥", None)]
+    linked, _ = groups(spark, rows)
+    assert linked == {frozenset({202, 203, 204})}
+
+
 def test_mined_nicknames_and_signs(spark):
     rows = [(f"n|{g}", "character", "Augustine Mordomark", ["Gus Mordomark"]) for g in range(3)]
     rows += [(f"o|{g}", "character", f"Augustine {'abcdefghijklmn'[g] * 9}", None) for g in range(14)]
