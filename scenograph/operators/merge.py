@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenograph.functions.vectors import sparse_vectors
+
 MOST_ALIASES, LONGEST_DESCRIPTION, LEAST_COSINE = 8, 800, 0.75
 CHANGE = "array<struct<scene_index:int,event:string>>"
 
@@ -66,6 +68,15 @@ def versions(entities: DataFrame) -> DataFrame:
     return rows.withColumns({**olds, "version": F.row_number().over(w)})
 
 
+def name_cosines(pairs: DataFrame) -> DataFrame:
+    """pairs(entity_uuid, version, old_keyword, keyword) -> the same with renamed (both names stand, trimmed, and differ) and their cosine, 0 where they share no bucket."""
+    keys = ["entity_uuid", "version"]
+    pairs = pairs.withColumn("renamed", F.coalesce((F.trim("old_keyword") != "") & (F.trim("keyword") != "") & (F.trim("old_keyword") != F.trim("keyword")), F.lit(False)))
+    old, new = (sparse_vectors(pairs.where("renamed"), keys, c).withColumnRenamed("weight", w) for c, w in (("old_keyword", "wo"), ("keyword", "wn")))
+    cosines = old.join(new, [*keys, "bucket"]).groupBy(*keys).agg(F.sum(F.col("wo") * F.col("wn")).alias("cosine"))
+    return pairs.join(cosines, keys, "left").withColumn("cosine", F.coalesce(F.round("cosine", 12), F.lit(0.0)))
+
+
 def fold(mentions: DataFrame) -> DataFrame:
     """Mentions of one keyword in a volume merged in order (scene, ordinal) into one entity without leaving the JVM.
 

@@ -290,6 +290,13 @@ def taint_detect(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d, "aliases", "description", "tainted").select("entity_uuid", bad.alias("found"), F.coalesce("tainted", F.lit(False)).alias("marked"), reason.alias("reason")).where("found or marked")
 
 
+def taint_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each written version of an entity under all three rules: aliases, description, and a merge under another name whose vector lies apart."""
+    v = merge.name_cosines(merge.versions(read(spark, d, "entities").where("entity_uuid is not null")))
+    bad, reason = merge.taint(F.col("aliases"), F.col("description"), F.col("cosine"), F.col("renamed"))
+    return v.select("entity_uuid", "version", bad.alias("found"), reason.alias("reason")).where("found")
+
+
 def mention_fold(spark: SparkSession, d: str) -> DataFrame:
     m = mentions(spark, d).where(P.valid_keyword())
     out = merge.fold(m)
@@ -362,7 +369,7 @@ QUERIES = {
         universal_search_list, search_scenes_list, category_contains_any, scene_point_lookup, no_future_leak, list_novels, novel_profile_volumes, novel_profile_types,
         novel_profile_top, entity_types, max_volume, find_entity_scenes, chunk_uuid5, chunk_upsert_latest, rechunk_resets_refs, entity_refs_backfill, chunk_to_entities,
         entity_to_chunks, link_consistency, volume_delete, orphan_cleanup, structural_split, sentence_split, volume_number, truncate_tokens, identity_text, content_text,
-        json_blob_agrees, mention_filter, final_guard, token_buckets, merge_canonical_name, merge_alias_union, merge_type_lock, merge_status_changes, taint_detect,
+        json_blob_agrees, mention_filter, final_guard, token_buckets, merge_canonical_name, merge_alias_union, merge_type_lock, merge_status_changes, taint_detect, taint_versions,
         mention_fold, label_cosine, boundary_fold_cap, fragment_merge, semantic_breaks, tenants, volume_prune, boundary_decisions,
         extract_mentions, merge_decisions, entity_slim,
     )

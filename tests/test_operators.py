@@ -171,3 +171,14 @@ def test_settings_tables_and_appearances(spark, tmp_path):
     spark.sql("drop database layers cascade")
     df = spark.createDataFrame([([3], 5), ([3, 5], 5), (None, 5), ([3], 0)], "a array<int>, s int")
     assert [r[0] for r in df.select(links.append_scene("a", "s")).collect()] == [[3, 5], [3, 5], [5], [3]]
+
+
+def test_taint_of_merges_under_another_name(spark, tmp_path):
+    from scenograph.plans.knowledge import QUERIES
+
+    names = {"a": ["Meteor Rain", "Lucid Dream"], "b": ["Old Harbour", " Old Harbour "], "c": ["Lucid Dream", None, "Meteor"], "d": ["old harbour town gate", "Old Harbour Town"], "e": ["Meteor Rain", "Meteor Rain", "rain METEOR"]}
+    rows = [(u, i, k, ["x"], "person", [], "{}", "short") for u, each in names.items() for i, k in enumerate(each)] + [("f", 0, "Long", [], "person", [], "{}", "y" * 801)]
+    df = spark.createDataFrame(rows, "entity_uuid string, written_at int, keyword string, aliases array<string>, entity_type string, categories array<string>, content string, description string")
+    df.write.parquet(f"{tmp_path}/entities.parquet")
+    got = {(r.entity_uuid, r.version): r.reason for r in QUERIES["taint_versions"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 2): "cosine 0.00", ("f", 1): "description 801"}
