@@ -1,9 +1,10 @@
 """Variant spellings of names: the forms of a typed name, and links between the rows that name one person or organisation.
 
 Every name of a row (its keyword and those aliases that are names) becomes one or more forms in a space of its kind. Forms of one group (a volume) and
-space meet in a metric-space join: forms are assigned to their nearest pivot under the Levenshtein distance, forms near a boundary are replicated to the
-other cells that the triangle inequality leaves possible, and inside a cell an exact radius join with the same metric finds all pairs. Rules on the parts
-of the names judge the pairs. Forms that fit several people (initials, nicknames, acronyms) join last, and only where one person is left.
+space meet in a metric-space join. Its pivots are the strings that a form becomes by at most `radius` deletions: the cell of a pivot is the ball about it, a
+form is replicated to the balls it lies in, two forms within the radius lie in one ball, and two of one ball are by the triangle inequality at most twice the
+radius apart, so cells stay small however large the group is. Inside a cell the exact edit distance finds all pairs. Rules on the parts of the names judge
+the pairs. Forms that fit several people (initials, nicknames, acronyms) join last, and only where one person is left.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenograph.llm.components import components
@@ -27,19 +28,15 @@ EPITHET = re.compile(r"\b(of|de|du|des|the|le|la)\b|\b[ld]'", re.I)
 GENERIC = {"teacher", "l'ancien", "maitre", "l'etranger", "隊長", "師父", "前輩", "那個人", "老師", "師兄", "師姐", "掌門", "陌生人"}
 ZH_TITLES = ("師姐", "師兄", "師妹", "師弟", "長老", "將軍", "先生", "殿下", "大人", "夫人", "小姐", "公子", "姑娘", "老師", "隊長")
 ZH_PREFIX = "老小阿"
-CLASSES = {
-    "order": "order", "ord": "order", "guild": "guild", "gld": "guild", "company": "company", "co": "company", "cmpy": "company", "trading": "trading",
-    "trdg": "trading", "academy": "academy", "acad": "academy", "acdmy": "academy", "ordre": "ordre", "guilde": "guilde", "compagnie": "compagnie",
-    "cie": "compagnie", "gde": "guilde", "academie": "academie", "church": "church", "league": "league", "society": "society", "brotherhood": "brotherhood",
-}
+CLASSES = "order guild company trading academy ordre guilde compagnie academie church league society brotherhood".split()
 ZH_CLASSES = {"商會": "商會", "商行": "商會", "騎士團": "騎士團", "騎團": "騎士團", "教團": "教團", "教會": "教團", "學院": "學院", "書院": "學院"}
 SMALL_WORDS = {"of", "the", "du", "de", "des", "la", "le", "l", "d", "and", "et"}
 SWAPPED = {"".join(sorted(w)) for w in SMALL_WORDS}  # small words with their letters swapped
 PLACEHOLDER = re.compile(r"(none|null|nil|nan|n/?a|unknown|undefined|unnamed|inconnue?|未知|無|无|不明|無名|某人|路人|行人|旁人|男子|女子|男人|女人|少年|少女|老人|[-?？.…_]*|(未知人物|未知|無名|角色|人物|路人|character|person|figure|personnage)\s*[-_#]?\s*([0-9０-９]*|[a-z]|[甲乙丙丁一二三四五六七八九十]+))", re.I)
 PEOPLE, BODIES, CONCEPTS, NEITHER = {"character", "person", "角色", "人物", "personnage"}, {"organisation", "organization", "組織"}, {"concept", "概念"}, {"location", "place", "地點", "object", "item", "物品", "lieu", "objet"}
 
-#: Radius of each space: Latin persons and organisations may differ by two edits before the rules judge, ideographs by one.
-RADIUS = {"PL": 2, "PZ": 1, "PF": 1, "OL": 2, "OZ": 1, "SL": 2}
+#: Radius of each space; a swap of letters counts as one edit where swaps are allowed.
+RADIUS = {"PL": 1, "PZ": 1, "PF": 1, "OL": 2, "OS": 1, "OZ": 1, "SL": 1}
 #: A word with less than this share of the persons of a word one edit away is a slip of it; signs and nicknames need such shares of their names and rows.
 SLIP_SHARE, SIGN_SHARE, NICK_SHARE = 0.1, 0.03, 0.05
 HAN = re.compile("[㐀-鿿]")
@@ -69,9 +66,9 @@ def _latin_person(s: str) -> list[Form]:
     if len(tokens[0]) == 1:
         return [("init", tokens[-1], tokens[0], tokens[-1], True)]
     g, n = tokens[0], tokens[-1]
-    out: list[Form] = [("PL", g + n, g, n, True), ("SL", n, g, n, True)]
+    out: list[Form] = [("PL", g + n, g, n, True)]
     if not comma:
-        out += [("PL", n + g, n, g, False), ("SL", g, n, g, True)]
+        out.append(("PL", n + g, n, g, False))
     if len(tokens) > 2:
         out.append(("PL", "".join(tokens), "", "", False))
         if not comma and len(tokens[1]) > 1:
@@ -118,11 +115,19 @@ def _one_edit(a: str, b: str) -> bool:
     return len(b) - len(a) == 1 and a[i:] == b[i + 1 :]
 
 
+@lru_cache(100_000)
 def _class_word(t: str) -> str:
-    """The kind of organisation that a word spells, typed right or with one slip; else the word."""
-    if t in CLASSES or len(t) < 5:
-        return CLASSES.get(t, t)
-    return next((c for w, c in CLASSES.items() if len(w) > 4 and _one_edit(t, w)), t)
+    """The kind of organisation that a word spells: typed right, with one slip, or short (its first letter and later ones in order, two or more left out); else the word."""
+    if t in CLASSES or len(t) < 2:
+        return t
+    slip = next((w for w in CLASSES if len(t) > 4 and _one_edit(t, w)), None)
+    short = min((w for w in CLASSES if t[0] == w[0] and len(t) <= len(w) - 2 and _in_order(t, w)), key=len, default=None)
+    return slip or short or t
+
+
+def _in_order(t: str, w: str) -> bool:
+    letters = iter(w)
+    return all(c in letters for c in t)
 
 
 def _body(s: str) -> list[Form]:
@@ -143,15 +148,15 @@ def _body(s: str) -> list[Form]:
     s = " ".join(comma[1:] + comma[:1]) if len(comma) == 2 else s
     tokens = [t for t in re.findall(r"[a-zœæß\d]+", s.replace("-", ""))]
     words = [_class_word(t) for t in tokens if t not in SMALL_WORDS and "".join(sorted(t)) not in SWAPPED]
-    cls = [w for w in words if w in CLASSES.values()]
-    rest = [w for w in words if w not in CLASSES.values()]
+    cls = [w for w in words if w in CLASSES]
+    rest = [w for w in words if w not in CLASSES]
     if not cls or not rest:
         return []
     key = "".join(rest + sorted(set(cls)))
-    out = [("OL", key, " ".join(rest), " ".join(sorted(set(cls))), True), ("OL", "".join(sorted(words)), "", "", True)]
+    out = [("OL", key, " ".join(rest), " ".join(sorted(set(cls))), True), ("OS", "".join(sorted(words)), "", "", True)]
     # in the order of the name: class words last for Academy and Company, first else
     last = [w for w in words if w in ("academy", "trading", "company")]
-    first = [w for w in words if w in CLASSES.values() and w not in last]
+    first = [w for w in words if w in CLASSES and w not in last]
     out.append(("acr_of", "".join(w[0] for w in first + rest + sorted(last, reverse=True)), "", "", True))
     return out
 
@@ -168,6 +173,22 @@ def forms(name: str, kind: str, foreign_given: set[str]) -> list[Form]:
     return _han_person(s, foreign_given) if HAN.search(s) else _latin_person(s)
 
 
+class Forms:
+    """forms() with each distinct name worked out once a task; bounded, emptied when full."""
+
+    def __init__(self, room: int = 200_000) -> None:
+        self.seen: dict[tuple, list[Form]] = {}
+        self.room = room
+
+    def __call__(self, name: str, kind: str, foreign_given: set[str]) -> list[Form]:
+        key = (name, kind, frozenset(foreign_given) if foreign_given else None)
+        if key not in self.seen:
+            if len(self.seen) >= self.room:
+                self.seen.clear()
+            self.seen[key] = forms(name, kind, foreign_given)
+        return self.seen[key]
+
+
 def name_forms(rows: DataFrame) -> DataFrame:
     """rows(id, grp, type, keyword, aliases) -> (id, grp, hard, main, space, key, given, surname, found), a row per form.
 
@@ -177,6 +198,7 @@ def name_forms(rows: DataFrame) -> DataFrame:
     schema = "id string, grp string, hard boolean, main boolean, space string, key string, given string, surname string, found boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = Forms()
         for b in batches:
             keywords = normalize(b.column("keyword").cast(pa.string()))[0].to_pylist()
             lists = b.column("aliases")
@@ -190,13 +212,13 @@ def name_forms(rows: DataFrame) -> DataFrame:
                 kind = "P" if t in PEOPLE else "O" if t in BODIES or t in CONCEPTS else "?"
                 given = {p for x in [k, *aliases] for p in re.split("[・·•‧]", re.sub(r"\s", "", x))[:1] if HAN.search(x) and re.search("[・·•‧]", x)}
                 given |= {re.sub(r"\s", "", x).split("，")[-1] for x in [k, *aliases] if "，" in x}
-                mine = forms(k, kind, given)
+                mine = parsed(k, kind, given)
                 if not mine:
                     continue
                 body = mine[0][0] in ("OL", "OZ", "acr", "abbr")
                 hard = kind == "P" or (body and mine[0][0] != "acr") or t in BODIES or t in CONCEPTS
                 seen = set()
-                for main, f in [(True, x) for x in mine] + [(False, x) for a in aliases for x in forms(a, "O" if body else "P", given)]:
+                for main, f in [(True, x) for x in mine] + [(False, x) for a in aliases for x in parsed(a, "O" if body else "P", given)]:
                     if f not in seen:
                         seen.add(f)
                         out.append((i, g, hard, main, *f))
@@ -207,177 +229,217 @@ def name_forms(rows: DataFrame) -> DataFrame:
     return rows.select("id", "grp", "type", "keyword", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).mapInArrow(run, schema)
 
 
-def radius_join(points: DataFrame, radius: Column) -> DataFrame:
-    """points(grp, space, key, found) -> pairs (grp, space, a, b, distance) of keys with Levenshtein distance 1 to radius, b one that may be found.
+#: Longer keys are held by the balls of their ends, of so many letters and one more; of two keys at most two edits apart one end has at most one edit.
+END = 32
 
-    About the root of a group's size serve as pivots, drawn by a hash of the key. Each key has a home cell, its nearest pivot, and is present in every cell
-    whose pivot is at most 2 * radius farther than its home's; so of any pair within the radius one key is present in the home cell of the other.
-    Keys are distinct per group before the join, however many rows share them.
+
+def _balls(key: str, radius: Column) -> Column:
+    """The strings that a key becomes by at most `radius` (1 or 2) deletions, itself included; for long keys those of their ends by one deletion."""
+    without = lambda c, i: F.concat(F.substring(c, F.lit(1), i), F.substring(c, i + 2, F.length(c)))
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: without(c, i))
+    one = lambda c: F.when(F.length(key) <= 2 * END + 4, each(c)).otherwise(F.array().cast("array<string>"))
+    whole = F.when(radius > 1, F.flatten(F.transform(one(F.col(key)), each))).otherwise(one(F.col(key)))
+    first = F.transform(each(F.substring(F.col(key), F.lit(1), F.lit(END + 1))), lambda v: F.concat(F.lit("^"), v))
+    last = F.transform(each(F.substring(F.col(key), F.lit(-END - 1), F.lit(END + 1))), lambda v: F.concat(F.lit("$"), v))
+    return F.array_distinct(F.when(F.length(key) > 2 * END, F.concat(whole, first, last)).otherwise(whole))
+
+
+def radius_join(points: DataFrame, radius: Column, swaps: bool = False) -> DataFrame:
+    """points(grp, space, key, found) -> pairs (grp, space, a, b, distance) of keys with Levenshtein distance 1 to radius (1 or 2), b one that may be found.
+
+    With swaps, keys of the same letters that one letter moved makes equal count too, though their distance is 2. Keys are distinct per group before
+    the join, however many rows share them, and only a hash of group, space and pivot is shuffled with a key.
     """
     keys = points.groupBy("grp", "space", "key").agg(F.max("found").alias("found")).withColumn("r", radius)
-    sizes = keys.groupBy("grp", "space").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("least"))
-    keys = materialize(keys.join(sizes, ["grp", "space"]).where("n > 1"), "keys")
-    drawn = (F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.sqrt("n"))) == 0) | (F.col("key") == F.col("least.key"))
-    # a large group's names are dealt to parts of about 2000, each of which meets all pivots of the group
-    part = F.ceil(F.col("n") / 2000).cast("int")
-    pivots = keys.where(drawn).select("grp", "space", F.col("key").alias("pivot"), F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
-    keys = keys.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), part).cast("int"))
-    far = keys.drop("least", "n").join(pivots, ["grp", "space", "part"]).withColumn("d", F.levenshtein("key", "pivot"))
-    cells = far.groupBy("grp", "space", "key", "found", "r").agg(F.collect_list(F.struct("d", "pivot")).alias("cells"), F.min(F.struct("d", "pivot")).alias("home"))
-    cells = materialize(cells.select("grp", "space", "key", "found", "r", "home", F.explode(F.filter("cells", lambda c: c.d <= F.col("home.d") + 2 * F.col("r"))).alias("c")), "cells")
-    home = cells.where("found and c = home").select("grp", "space", F.col("c.pivot").alias("pivot"), F.col("c.d").alias("db"), F.col("key").alias("b"))
-    present = cells.select("grp", "space", F.col("c.pivot").alias("pivot"), F.col("c.d").alias("da"), F.col("key").alias("a"), "r")
-    near = present.join(home, ["grp", "space", "pivot"]).where("a <> b and abs(da - db) <= r and abs(length(a) - length(b)) <= r")
-    return near.withColumn("distance", F.levenshtein("a", "b")).where("distance <= r").select("grp", "space", "a", "b", "distance")
+    cells = keys.select("grp", "space", "key", "found", "r", F.explode(F.transform(_balls("key", F.col("r")), lambda v: F.xxhash64("grp", "space", v))).alias("cell"))
+    home = cells.where("found").select("cell", F.col("grp").alias("g"), F.col("space").alias("s"), F.col("key").alias("b"))
+    near = cells.select("cell", "grp", "space", "r", F.col("key").alias("a")).join(home, "cell").where("a <> b and grp = g and space = s and abs(length(a) - length(b)) <= r")
+    # pairs of several cells come to one row before their distance is worked out
+    near = near.groupBy("grp", "space", "a", "b").agg(F.max("r").alias("r")).withColumn("distance", F.expr(f"levenshtein(a, b, {'greatest(r, 2)' if swaps else 'r'})"))
+    close = F.col("distance").between(1, F.col("r"))
+    if swaps:
+        close |= (F.col("distance") == 2) & (_letters("a") == _letters("b"))
+    return near.where(close).select("grp", "space", "a", "b", "distance")
 
 
 def _letters(c: str) -> Column:
     return F.array_sort(F.split(c, ""))
 
 
+FULL = ["PL", "PZ", "PF", "OL", "OS", "OZ"]
+
+
+def _node(space: Column | str, key: str) -> Column:
+    return F.concat_ws("\u0001", "grp", space, key)
+
+
+def _row() -> Column:
+    return F.concat_ws("\u0001", "grp", F.lit("row"), "id")
+
+
 def linked_rows(rows: DataFrame) -> DataFrame:
     """rows(id, grp, type, keyword, aliases) -> (id, grp, entity): rows of one person or organisation share `entity`; rows without forms are left out.
 
     Null aliases count as none, repeated rows of an id as one, an empty table gives no rows.
     """
     all_forms = materialize(name_forms(rows), "forms")
-    full = all_forms.where(F.col("space").isin("PL", "PZ", "PF", "OL", "OZ"))
-    # given names of ideographs that stand before a dot elsewhere are short names, not native full names
-    alone = full.where("space = 'PF' and given <> ''").groupBy(F.col("given").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("PZ").alias("space"), "key")
-    full = materialize(full.join(alone, ["space", "key"], "left_anti"), "full")
-
-    # what the whole table says: frequent given names and words, signs typed for one another, nicknames
-    words = _known_words(full)
-    confused = _confused(full)
-    nick = _nicknames(all_forms, full)
-
-    points = all_forms.where("space = 'SL' or space = 'init'").select("grp", F.lit("SL").alias("space"), "key", F.col("space").eqNullSafe("SL").alias("found")).unionByName(full.select("grp", "space", "key", "found"))
-    radius = reduce(lambda c, kv: c.when(F.col("space") == kv[0], kv[1]), RADIUS.items(), F.when(F.lit(False), 0))
-    # nicknames are looked for under the names they may stand for
-    named = full.where("space = 'PL' and given <> ''").join(nick, F.col("given") == F.col("nick")).select("grp", "id", F.col("key").alias("weak"), F.concat("full_given", "surname").alias("key"))
-    named = materialize(named.distinct(), "nicknamed")
-    points = points.unionByName(named.select("grp", F.lit("PL").alias("space"), "key", F.lit(False).alias("found")))
-    pairs = materialize(radius_join(points, radius), "near")
-
-    parts = full.groupBy("grp", "space", "key").agg(F.max("given").alias("given"), F.max("surname").alias("surname"))
-    a = parts.select("grp", "space", F.col("key").alias("a"), F.col("given").alias("ga"), F.col("surname").alias("sa"))
-    b = parts.select("grp", "space", F.col("key").alias("b"), F.col("given").alias("gb"), F.col("surname").alias("sb"))
-    judged = pairs.where("space <> 'SL'").join(a, ["grp", "space", "a"]).join(b, ["grp", "space", "b"])
-    judged = judged.join(words.select("space", F.col("w").alias("ga"), F.lit(True).alias("fa")), ["space", "ga"], "left").join(words.select("space", F.col("w").alias("gb"), F.lit(True).alias("fb")), ["space", "gb"], "left")
-    both_known = F.col("fa") & F.col("fb") & (F.col("ga") != F.col("gb"))
-    swap = _letters("a") == _letters("b")
-    each_once = (F.levenshtein("ga", "gb") <= 1) & (F.levenshtein("sa", "sb") <= 1) & (F.col("ga") != "") & (F.col("gb") != "") & (F.length("a") >= 14)
-    signs = F.when(F.length("a") == F.length("b"), F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p.x != p.y)[0])
-    judged = judged.withColumn("x", F.least(signs.x, signs.y)).withColumn("y", F.greatest(signs.x, signs.y)).join(confused, ["x", "y"], "left")
-    token = F.split("ga", " "), F.split("gb", " ")
-    other = F.array_except(*token), F.array_except(*token[::-1])
-    judged = judged.withColumn("oa", F.when((F.col("space") == "OL") & (F.size(other[0]) == 1), other[0][0])).withColumn("ob", F.when((F.col("space") == "OL") & (F.size(other[1]) == 1), other[1][0]))
-    judged = judged.join(words.select("space", F.col("w").alias("oa"), F.lit(True).alias("wa")), ["space", "oa"], "left").join(words.select("space", F.col("w").alias("ob"), F.lit(True).alias("wb")), ["space", "ob"], "left")
-    two_words = F.coalesce(F.col("wa") & F.col("wb"), F.lit(False))
-    ok = (
-        F.when(F.col("space") == "PL", ~F.coalesce(both_known, F.lit(False)) & ((F.col("distance") == 1) | swap | F.coalesce(each_once, F.lit(False))))
-        .when(F.col("space") == "OL", ~two_words & ((F.col("distance") == 1) | swap | (F.length("a") >= 14)))
-        .when(F.col("space") == "PF", F.col("confused").isNotNull() | (~F.coalesce(both_known, F.lit(False)) & (F.length("a") >= 5)))
-        .otherwise(F.col("confused").isNotNull() | ((F.length("a") != F.length("b")) & (F.least(F.length("a"), F.length("b")) >= 4)))
-    )
-    strong = judged.where(ok).select("grp", "space", "a", "b").distinct()
-
-    # rows and name keys are the nodes of one graph; forms that are only looked with, not found, tie a row to the key they hit
-    node = lambda space, key: F.concat_ws("\u0001", "grp", space, key)
-    row = F.concat_ws("\u0001", "grp", F.lit("row"), "id")
-    found = full.where("found")
-    homes = found.select("grp", "space", "key").distinct()
-    own = found.select(row.alias("p"), node("space", "key").alias("q"))
-    hits = full.where("not found").join(homes, ["grp", "space", "key"], "left_semi").select(row.alias("p"), node("space", "key").alias("q"))
-    by_pair = full.join(strong, (full.grp == strong.grp) & (full.space == strong.space) & (full.key == strong.a)).select(F.concat_ws("\u0001", full.grp, F.lit("row"), "id").alias("p"), F.concat_ws("\u0001", full.grp, full.space, "b").alias("q"))
-    edges = materialize(own.unionByName(hits).unionByName(by_pair).distinct(), "edges")
-    first = materialize(components(edges), "first")
-
-    weak = _weak_edges(all_forms, full, pairs, named, strong, first, node, row)
-    everything = edges.unionByName(weak)
-    labels = components(everything)
+    # what the whole table says: frequent given names and words, signs typed for one another, nicknames, given names that look native
+    vocabulary = materialize(_vocabulary(all_forms), "vocabulary")
+    keys = materialize(_keys(all_forms, vocabulary), "keys")
+    near = materialize(radius_join(_points(all_forms, keys, vocabulary), _radius(), swaps=True), "near")
+    strong = materialize(_judged(keys, near, vocabulary), "strong")
+
+    # rows and name keys are the nodes of one graph: a row is tied to its own keys, where some row's name is that key, and to the keys they are near to
+    found = keys.where("found").select("grp", "space", "key", F.col("key").alias("to"))
+    targets = found.unionByName(strong.select("grp", "space", F.col("a").alias("key"), F.col("b").alias("to")))
+    mine = all_forms.where(F.col("space").isin(FULL)).select("grp", "id", "space", "key").distinct()
+    edges = mine.join(targets, ["grp", "space", "key"]).select("grp", _row().alias("p"), _node("space", "to").alias("q"))
+    first = materialize(components(edges, "grp"), "first")
+
+    weak = _weak_edges(all_forms, keys, near, strong, vocabulary, first)
+    tied = first.where(F.split("node", "\u0001")[1] == "row").select(F.split("node", "\u0001")[0].alias("grp"), F.col("node").alias("p"), F.col("component").alias("q"))
+    labels = components(tied.unionByName(weak), "grp")
     hard = all_forms.groupBy("id", "grp").agg(F.max("hard").alias("hard"))
-    out = hard.withColumn("node", row).join(labels, "node", "left").select("id", "grp", F.coalesce("component", "node").alias("entity"), "hard")
+    out = hard.withColumn("node", _row()).join(labels, "node", "left").select("id", "grp", F.coalesce("component", "node").alias("entity"), "hard")
     # rows of an uncertain type count only beside one that is certain
     sure = out.groupBy("entity").agg(F.max("hard").alias("sure")).where("sure").select("entity")
     return out.join(sure, "entity", "left_semi").select("id", "grp", "entity")
 
 
-def _known_words(full: DataFrame) -> DataFrame:
-    """(space, w): given names and organisations' words of five persons (names of a volume, however many rows) or more that are no slips of a neighbour."""
-    given = full.where("main and found and space in ('PL', 'PF', 'OL')").select("space", "grp", "key", F.explode(F.split("given", " ")).alias("w")).where("w <> ''")
-    words = materialize(given.groupBy("space", "w").agg(F.countDistinct("grp", "key").alias("wn")).where("wn >= 5"), "words")
-    # words one edit apart are equal when one sign, or none, is left out of either
-    less = F.transform(F.sequence(F.lit(0), F.length("w")), lambda i: F.xxhash64(F.concat(F.substring("w", F.lit(1), i), F.substring("w", i + 2, F.length("w")))))
-    v = words.select("space", "w", "wn", F.explode(F.array_distinct(less)).alias("v"))
-    near = v.alias("l").join(v.alias("m"), ["space", "v"]).where(F.col("l.wn") < SLIP_SHARE * F.col("m.wn"))
-    near = near.where((F.levenshtein("l.w", "m.w") == 1) | (_letters("l.w") == _letters("m.w"))).select("space", F.col("l.w").alias("w")).distinct()
-    return materialize(words.join(near, ["space", "w"], "left_anti").select("space", "w"), "known")
-
-
-def _confused(full: DataFrame) -> DataFrame:
-    """Pairs of ideographs (x < y) typed for one another: names of one row that differ in this one place, of two persons at least and of a share of the names with the rarer sign."""
-    names = full.where("found and space in ('PZ', 'PF', 'OZ')").select("id", "grp", "space", "key").distinct()
-    two = names.alias("l").join(names.alias("m"), ["id", "grp", "space"]).where("l.key < m.key and length(l.key) = length(m.key)").select("grp", F.col("l.key").alias("a"), F.col("m.key").alias("b"))
-    signs = F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p.x != p.y)
-    one = two.withColumn("s", signs).where("size(s) = 1")
-    first = F.get("s", F.lit(0))
-    counts = one.select(F.least(first.x, first.y).alias("x"), F.greatest(first.x, first.y).alias("y"), "grp", "a", "b").groupBy("x", "y").agg(F.countDistinct("grp", "a", "b").alias("confused")).where("confused >= 2")
-    uses = names.select("grp", "key").distinct().select(F.explode(F.array_distinct(F.split("key", ""))).alias("x")).groupBy("x").agg(F.count("*").alias("nx"))
-    counts = counts.join(uses, "x").join(uses.select(F.col("x").alias("y"), F.col("nx").alias("ny")), "y")
-    return materialize(counts.where(F.col("confused") >= SIGN_SHARE * F.least("nx", "ny")).select("x", "y", "confused"), "confused")
-
-
-def _nicknames(all_forms: DataFrame, full: DataFrame) -> DataFrame:
-    """(nick, full_given): given names used for one person: beside the same surname, or alone beside a full name; of two persons at least and of a share of the nickname's."""
-    names = full.where("space = 'PL' and found and given <> ''").select("id", "grp", "given", "surname").distinct()
-    short = all_forms.where("space = 'short'").select("id", "grp", F.col("key").alias("nick")).distinct()
-    beside = names.alias("l").join(names.alias("m"), ["id", "grp", "surname"]).where("l.given <> m.given").select("grp", "surname", F.col("l.given").alias("nick"), F.col("m.given").alias("full_given"))
-    alone = short.join(names, ["id", "grp"]).select("grp", "surname", "nick", F.col("given").alias("full_given"))
-    often = names.select("grp", "given", "surname").distinct().groupBy("given").agg(F.count("*").alias("n"))
-    pairs = beside.unionByName(alone).where(F.levenshtein("nick", "full_given") > 1).where(_letters("nick") != _letters("full_given"))
-    counts = pairs.groupBy("nick", "full_given").agg(F.countDistinct("grp", "surname").alias("persons"))
-    counts = counts.join(counts.groupBy("nick").agg(F.sum("persons").alias("every")), "nick").where((F.col("persons") >= 2) & (F.col("persons") >= NICK_SHARE * F.col("every")))
-    counts = counts.join(often.select(F.col("given").alias("full_given"), F.col("n").alias("nf")), "full_given").join(often.select(F.col("given").alias("nick"), F.col("n").alias("nn")), "nick", "left")
-    return materialize(counts.where("nf > 3 * coalesce(nn, 0)").select("nick", "full_given"), "nicknames")
-
-
-def _weak_edges(all_forms, full, pairs, named, strong, first, node, row) -> DataFrame:
-    """Edges of forms that fit several people, where all they fit is one component."""
-    label = first.withColumnRenamed("node", "q")
-    surnames = pairs.where((F.col("space") == "SL") & ((F.col("distance") == 1) | (_letters("a") == _letters("b")))).select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))
-    initials = all_forms.where("space = 'init'").select("grp", "id", "key", F.col("given").alias("initial"))
-    same = initials.select("grp", "key", F.col("key").alias("hit")).distinct()
-    families = all_forms.where("space = 'SL'").select("grp", F.col("key").alias("hit"), "given", F.substring("given", 1, 1).alias("initial")).distinct()
-    spelled = initials.join(surnames.unionByName(same).distinct(), ["grp", "key"]).join(families, ["grp", "hit", "initial"])
-    # a family name may be given in either order, so both joined forms are looked up
-    spelled = spelled.select("grp", "id", F.concat_ws("\u0001", F.lit("init"), "initial", "key").alias("weak"), F.explode(F.array(F.concat("given", "hit"), F.concat("hit", "given"))).alias("key"))
-    by_initial = spelled.select("grp", "id", "weak", node(F.lit("PL"), "key").alias("q"))
-
-    close = strong.where("space = 'PL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit")).unionByName(pairs.where("space = 'PL'").where((F.col("distance") == 1) | (_letters("a") == _letters("b"))).select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))).distinct()
-    nick_hits = named.join(close, ["grp", "key"]).select("grp", "id", "weak", F.col("hit").alias("key")).unionByName(named.select("grp", "id", "weak", "key"))
-    by_nick = nick_hits.select("grp", "id", F.concat_ws("\u0001", F.lit("nick"), "weak").alias("weak"), node(F.lit("PL"), "key").alias("q"))
-
-    def short_form(space: str, of: str) -> DataFrame:
-        mine = all_forms.where(F.col("space") == space).select("grp", "id", "key")
-        theirs = all_forms.where(F.col("space") == of).select("grp", "key", row.alias("q")).distinct()
-        return mine.join(theirs, ["grp", "key"]).select("grp", "id", F.concat_ws("\u0001", F.lit(space), "key").alias("weak"), "q")
-
-    candidates = by_initial.unionByName(by_nick).unionByName(short_form("acr", "acr_of")).unionByName(short_form("abbr", "abbr_of"))
-    fits = candidates.join(label, "q").select("grp", "id", "weak", "component").distinct()
-    weak_node = F.concat_ws("\u0001", "grp", F.lit("weak"), "weak")
-    fits = fits.groupBy("grp", "weak").agg(F.countDistinct("component").alias("n"), F.min("component").alias("component"))
+def _of(vocabulary: DataFrame, kind: str, *names: str) -> DataFrame:
+    return vocabulary.where(F.col("kind") == kind).select(*[F.col(c).alias(n) for c, n in zip(("space", "x", "y"), names) if n])
+
+
+def _vocabulary(all_forms: DataFrame) -> DataFrame:
+    """(kind, space, x, y) of what the whole table says, counted in persons (names of a volume), however many rows name them."""
+    persons = all_forms.where("found").select("space", "grp", "key", "given", "surname", "main").groupBy("space", "grp", "key", "given", "surname").agg(F.max("main").alias("main"))
+    none = F.lit(None).cast("string")
+    # word: given names and organisations' words of five persons or more that are no slips of a word one edit away, with SLIP_SHARE of its persons or fewer
+    words = persons.where("main and space in ('PL', 'PF', 'OL')").select("space", "grp", "key", F.explode(F.array_distinct(F.split("given", " "))).alias("x")).where("x <> ''")
+    words = words.groupBy("space", "x").agg(F.count("*").alias("n")).where("n >= 5")
+    balls = words.select("space", "x", "n", F.explode(F.transform(_balls("x", F.lit(1)), lambda v: F.xxhash64("space", v))).alias("v"))
+    most = balls.groupBy("v").agg(F.max("n").alias("most"))
+    known = balls.join(most, "v").groupBy("space", "x").agg(F.max(F.col("n") < SLIP_SHARE * F.col("most")).alias("slip")).where("not slip")
+    # foreign: native-looking names that stand as given names before a dot more often than as names
+    foreign = persons.where("space in ('PF', 'PZ')").select(F.when(F.col("space") == "PF", F.col("given")).otherwise(F.col("key")).alias("x"), F.when(F.col("space") == "PF", 1).otherwise(-1).alias("n")).where("x <> ''")
+    foreign = foreign.groupBy("x").agg(F.sum("n").alias("n"), F.max("n").alias("given")).where("given > 0 and n > 0")
+    # what rows list side by side
+    lists = all_forms.groupBy("id", "grp").agg(
+        F.collect_set(F.when(F.col("found") & F.col("space").isin("PZ", "PF", "OZ"), F.struct("space", "key"))).alias("signed"),
+        F.collect_set(F.when(F.col("found") & (F.col("space") == "PL") & (F.col("given") != ""), F.struct("given", "surname"))).alias("names"),
+        F.collect_set(F.when(F.col("space") == "short", F.col("key"))).alias("short"),
+    )
+    # sign: ideographs typed for one another, of two persons at least and of a share of the names with the rarer sign
+    two = lists.where("size(signed) > 1").select("grp", F.explode("signed").alias("a"), "signed").select("grp", "a", F.explode("signed").alias("b"))
+    two = two.where("a.space = b.space and a.key < b.key and length(a.key) = length(b.key)").select("grp", F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    one = two.withColumn("s", _unlike("a", "b")).where("size(s) = 1").withColumn("s", F.get("s", F.lit(0)))
+    counts = one.groupBy(F.least("s.x", "s.y").alias("x"), F.greatest("s.x", "s.y").alias("y")).agg(F.count("*").alias("n")).where("n >= 2")
+    uses = persons.where("space in ('PZ', 'PF', 'OZ')").select(F.explode(F.array_distinct(F.split("key", ""))).alias("c")).groupBy("c").agg(F.count("*").alias("m"))
+    ends = counts.select("x", "y", "n", F.explode(F.array("x", "y")).alias("c")).join(uses, "c").groupBy("x", "y").agg(F.first("n").alias("n"), F.min("m").alias("m"))
+    signs = ends.where(F.col("n") >= SIGN_SHARE * F.col("m"))
+    # nick: given names used for one person, beside the same surname or alone beside a full name; of two persons at least and of a share of the nickname's
+    named = lists.where("size(names) > 0").select("grp", "names", "short", F.explode("names").alias("m"))
+    beside = F.transform(F.filter("names", lambda o: (o.surname == F.col("m.surname")) & (o.given != F.col("m.given"))), lambda o: o.given)
+    pairs = named.select("grp", "m.surname", F.col("m.given").alias("y"), F.explode(F.concat(beside, "short")).alias("x")).distinct()
+    pairs = pairs.where((F.levenshtein("x", "y", 1) == -1) & (_letters("x") != _letters("y"))).groupBy("x", "y").agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("every", F.sum("n").over(Window.partitionBy("x"))).where((F.col("n") >= 2) & (F.col("n") >= NICK_SHARE * F.col("every")))
+    often = persons.where("space = 'PL' and given <> ''").groupBy(F.col("given").alias("g")).agg(F.count("*").alias("often"))
+    pairs = pairs.join(often.withColumnsRenamed({"g": "y", "often": "ny"}), "y").join(often.withColumnsRenamed({"g": "x", "often": "nx"}), "x", "left").where("ny > 3 * coalesce(nx, 0)")
+    return (
+        known.select(F.lit("word").alias("kind"), "space", "x", none.alias("y"))
+        .unionByName(foreign.select(F.lit("foreign").alias("kind"), F.lit("PZ").alias("space"), "x", none.alias("y")))
+        .unionByName(signs.select(F.lit("sign").alias("kind"), none.alias("space"), "x", "y"))
+        .unionByName(pairs.select(F.lit("nick").alias("kind"), F.lit("PL").alias("space"), "x", "y"))
+    )
+
+
+def _unlike(a: str, b: str) -> Column:
+    """The places (x, y) in which two keys of one length differ."""
+    return F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p.x != p.y)
+
+
+def _keys(all_forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(grp, space, key, found, given, surname) of the distinct full names; given names that only look native are none."""
+    full = all_forms.where(F.col("space").isin(FULL)).groupBy("grp", "space", "key").agg(F.max("found").alias("found"), F.max(F.struct("given", "surname")).alias("parts"))
+    return full.join(_of(vocabulary, "foreign", "space", "key"), ["space", "key"], "left_anti").select("grp", "space", "key", "found", "parts.given", "parts.surname")
+
+
+def _nicknamed(all_forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(grp, weak, key): names with a nickname, and the full names they may stand for."""
+    names = all_forms.where("space = 'PL' and given <> ''").select("grp", F.col("key").alias("weak"), "given", "surname").distinct()
+    return names.join(_of(vocabulary, "nick", None, "given", "full_given"), "given").select("grp", "weak", F.concat("full_given", "surname").alias("key")).distinct()
+
+
+def _points(all_forms: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """What meets in the metric-space join: full names, the full names of nicknames, and family names (SL) with those of initials."""
+    families = keys.where("space = 'PL' and given <> ''").select("grp", F.explode(F.array("surname", "given")).alias("key"), "found")
+    initials = all_forms.where("space = 'init'").select("grp", "key", F.lit(False).alias("found"))
+    points = keys.select("grp", "space", "key", "found").unionByName(_nicknamed(all_forms, vocabulary).select("grp", F.lit("PL").alias("space"), "key", F.lit(False).alias("found")))
+    return points.unionByName(families.unionByName(initials).select("grp", F.lit("SL").alias("space"), "key", "found"))
+
+
+def _radius() -> Column:
+    return reduce(lambda c, kv: c.when(F.col("space") == kv[0], kv[1]), RADIUS.items(), F.when(F.lit(False), 0))
+
+
+def _judged(keys: DataFrame, near: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(grp, space, a, b): near names that the rules on their parts take for one."""
+    a = keys.select("grp", "space", F.col("key").alias("a"), F.col("given").alias("ga"), F.col("surname").alias("sa"))
+    b = keys.where("found").select("grp", "space", F.col("key").alias("b"), F.col("given").alias("gb"), F.col("surname").alias("sb"))
+    pairs = near.where("space <> 'SL'").join(a, ["grp", "space", "a"]).join(b, ["grp", "space", "b"]).select("grp", "space", "a", "b", "ga", "gb", "distance")
+    # long names may have one slip in each part: near family names, then near given names
+    slips = near.where("space = 'SL'").select("grp", F.col("a").alias("sa"), F.col("b").alias("sb"), F.lit("PL").alias("space"))
+    each = slips.join(a.where("ga <> '' and length(a) >= 14"), ["grp", "space", "sa"]).join(b.where("gb <> ''"), ["grp", "space", "sb"])
+    each = each.where((F.levenshtein("ga", "gb", 1) == 1) & (F.levenshtein("a", "b", 2) == 2)).select("grp", "space", "a", "b", "ga", "gb", F.lit(2).alias("distance"))
+    token = F.split("ga", " "), F.split("gb", " ")
+    other = F.array_except(*token), F.array_except(*token[::-1])
+    pairs = pairs.unionByName(each).withColumns({"oa": F.when(F.size(other[0]) == 1, other[0][0]), "ob": F.when(F.size(other[1]) == 1, other[1][0])})
+    words = _of(vocabulary, "word", "space", "w")
+    pairs = pairs.join(words.select("space", F.col("w").alias("oa"), F.lit(True).alias("wa")), ["space", "oa"], "left").join(words.select("space", F.col("w").alias("ob"), F.lit(True).alias("wb")), ["space", "ob"], "left")
+    signs = F.when(F.length("a") == F.length("b"), F.get(_unlike("a", "b"), F.lit(0)))
+    pairs = pairs.withColumns({"x": F.least(signs.x, signs.y), "y": F.greatest(signs.x, signs.y)}).join(_of(vocabulary, "sign", None, "x", "y").withColumn("confused", F.lit(True)), ["x", "y"], "left")
+    apart = F.coalesce(F.col("wa") & F.col("wb"), F.lit(False))
+    ok = (
+        F.when(F.col("space") == "PL", ~apart)
+        .when(F.col("space").isin("OL", "OS"), ~apart & ((F.col("distance") == 1) | (_letters("a") == _letters("b")) | (F.length("a") >= 14)))
+        .when(F.col("space") == "PF", F.col("confused").isNotNull() | (~apart & (F.length("a") >= 5)))
+        .otherwise(F.col("confused").isNotNull() | ((F.length("a") != F.length("b")) & (F.least(F.length("a"), F.length("b")) >= 4)))
+    )
+    return pairs.where(ok).select("grp", "space", "a", "b").distinct()
+
+
+def _weak_edges(all_forms: DataFrame, keys: DataFrame, near: DataFrame, strong: DataFrame, vocabulary: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges (grp, p, q) of forms that fit several people, where all they fit is one component."""
+    # initials: a family name, right or near, and a given name that begins so; a name may be given in either order
+    initials = all_forms.where("space = 'init'").select("grp", "key", F.col("given").alias("initial")).distinct()
+    surnames = near.where("space = 'SL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))
+    spelled = initials.join(surnames, ["grp", "key"]).unionByName(initials.withColumn("hit", F.col("key")))
+    part = lambda hit, given: F.struct(F.col(hit).alias("hit"), F.substring(given, 1, 1).alias("initial"))
+    families = keys.where("space = 'PL' and found and given <> ''").select("grp", "key", F.explode(F.array(part("surname", "given"), part("given", "surname"))).alias("f")).select("grp", "f.*", _node(F.lit("PL"), "key").alias("q"))
+    by_initial = spelled.join(families, ["grp", "hit", "initial"]).select("grp", F.concat_ws("\u0001", F.lit("init"), "initial", "key").alias("weak"), "q")
+
+    named = _nicknamed(all_forms, vocabulary)
+    close = near.where("space = 'PL'").select("grp", F.col("a").alias("key"), F.col("b").alias("hit"))
+    nick = F.concat_ws("\u0001", F.lit("nick"), "weak")
+    by_nick = named.join(close, ["grp", "key"]).select("grp", nick.alias("weak"), _node(F.lit("PL"), "hit").alias("q")).unionByName(named.select("grp", nick.alias("weak"), _node(F.lit("PL"), "key").alias("q")))
+
+    # acronyms and abbreviations: rows whose name shortens to them
+    short = all_forms.where("space in ('acr', 'abbr')").select("grp", F.concat_ws("", "space", F.lit("_of")).alias("space"), "key").distinct()
+    theirs = all_forms.where("space in ('acr_of', 'abbr_of')").select("grp", "space", "key", _row().alias("q")).distinct()
+    by_letters = short.join(theirs, ["grp", "space", "key"]).select("grp", F.concat_ws("\u0001", F.regexp_replace("space", "_of", ""), "key").alias("weak"), "q")
+
+    candidates = by_initial.unionByName(by_nick).unionByName(by_letters)
+    fits = candidates.join(first.withColumnRenamed("node", "q"), "q").groupBy("grp", "weak").agg(F.min("component").alias("component"), F.max("component").alias("other"))
     # equal initials, acronyms and abbreviations name one another too, unless they fit several
     bare = all_forms.where("space in ('init', 'acr', 'abbr')").select("grp", "id", F.when(F.col("space") == "init", F.concat_ws("\u0001", "space", "given", "key")).otherwise(F.concat_ws("\u0001", "space", "key")).alias("weak"))
-    owners = bare.unionByName(named.select("grp", "id", F.concat_ws("\u0001", F.lit("nick"), "weak").alias("weak"))).distinct()
-    held = owners.join(fits, ["grp", "weak"], "left").where("n is null or n = 1")
-    to_weak = held.select(row.alias("p"), weak_node.alias("q"))
-    to_them = held.where("n = 1").select(weak_node.alias("p"), F.col("component").alias("q"))
-    return materialize(to_weak.unionByName(to_them).distinct(), "weak")
+    nicked = all_forms.where("space = 'PL' and given <> ''").join(named.select("grp", F.col("weak").alias("key")).distinct(), ["grp", "key"], "left_semi").select("grp", "id", F.concat_ws("\u0001", F.lit("nick"), "key").alias("weak"))
+    held = bare.unionByName(nicked).distinct().join(fits, ["grp", "weak"], "left").where("component is null or component = other")
+    weak_node = F.concat_ws("\u0001", "grp", F.lit("weak"), "weak")
+    ends = F.array(F.struct(_row().alias("p"), weak_node.alias("q")), F.struct(weak_node.alias("p"), F.col("component").alias("q")))
+    return held.select("grp", F.explode(ends).alias("e")).select("grp", "e.*").where("q is not null").distinct()
 
 
 def linked_pairs(rows: DataFrame) -> DataFrame:
     """All pairs (a < b) of ids with the same entity."""
-    labels = materialize(linked_rows(rows), "linked")
-    a, b = labels.select("entity", F.col("id").alias("a")), labels.select("entity", F.col("id").alias("b"))
-    return a.join(b, "entity").where("a < b").select("a", "b")
+    labels = materialize(linked_rows(rows), "linked").select("entity", "id")
+    return labels.alias("a").join(labels.alias("b"), "entity").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))

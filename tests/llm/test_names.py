@@ -23,6 +23,14 @@ def test_radius_join_finds_every_pair(spark):
     rows = []
     for g in ("a", "b"):
         words = {"".join(rnd.choices("abc", k=rnd.randint(3, 7))) for _ in range(120)}
+        long = ["".join(rnd.choices("abc", k=k)) for k in (60, 64, 65, 66, 67, 68, 70, 90)]
+        for w in long:  # long names, about where their cells change, with up to three edits
+            for _ in range(12):
+                x = list(w)
+                for _ in range(rnd.randint(1, 3)):
+                    k = rnd.randrange(len(x))
+                    x[k : k + 1] = rnd.choice(["", "a", "b" + x[k], x[k] + "c"])
+                words.add("".join(x))
         rows += [(g, "s", w, rnd.random() < 0.7) for w in sorted(words)]
     df = spark.createDataFrame(rows + rows[:5], "grp string, space string, key string, found boolean")
     for r in (1, 2):
