@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 LIMIT = 0x110000
 #: Classes of characters as bits.
-LATIN, FOREIGN, WORD, MARK, HIDDEN, SPACE, COMPAT, HAN, ALNUM = (1 << i for i in range(9))
-SPECIAL = FOREIGN | MARK | HIDDEN | SPACE | COMPAT
+LATIN, FOREIGN, WORD, MARK, HIDDEN, SPACE, COMPAT, HAN, ALNUM, KANA = (1 << i for i in range(10))
+SPECIAL = FOREIGN | MARK | HIDDEN | SPACE | COMPAT | KANA
 
 # Letters of other scripts that look like Latin letters.
 LOOKALIKES = {
@@ -36,6 +36,9 @@ LOOKALIKES = {
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "յ": "j", "ո": "n", "զ": "q", "Օ": "O", "Տ": "S", "Լ": "L",
 }
 
+# Katakana that look like ideographs.
+KANA_LOOKALIKES = {"ロ": "口", "ニ": "二", "ハ": "八", "カ": "力", "エ": "工", "タ": "夕", "ト": "卜", "オ": "才", "ミ": "三", "ヌ": "又", "チ": "千", "ム": "厶"}
+
 #: Blocks without any compatibility form; left out to build the tables quickly.
 _PLAIN = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x17000, 0x1D000), (0x20000, 0x2F800), (0x2FA20, 0xE0000), (0xE01F0, LIMIT))
 
@@ -101,8 +104,10 @@ class Tables:
             parts = unicodedata.decomposition(ch).split()
             if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", ch) == ch:
                 pairs[int(parts[0], 16) << 21 | int(parts[1], 16)] = cp
-        for a, b in LOOKALIKES.items():
+        for a, b in (LOOKALIKES | KANA_LOOKALIKES).items():
             look[ord(a)] = ord(b)
+        for a in KANA_LOOKALIKES:
+            cls[ord(a)] |= KANA
         self.cls, self.lower, self.ccc, self.look = cls, lower, ccc, look
         self.full = np.array(full or [0], np.uint32)
         keys = np.array(sorted(pairs), np.uint64)
@@ -301,6 +306,15 @@ def _normalize(t: Tables, cps: np.ndarray, row: np.ndarray, n: int) -> tuple[np.
         swap = foreign & has_latin[word] & (t.look[cps] > 0)
         cps[swap] = t.look[cps[swap]]
         flag[row[swap]] = True
+    kana = (cls & KANA) != 0
+    if kana.any():  # one that stands alone beside an ideograph, with no other kana next to it
+        edge = np.concatenate(([True], row[1:] != row[:-1], [True]))
+        is_kana, is_han = (cps >= 0x3041) & (cps < 0x3100) & (cps != 0x30FB), (cls & HAN) != 0
+        beside = lambda x: (np.concatenate(([False], x[:-1])) & ~edge[:-1], np.concatenate((x[1:], [False])) & ~edge[1:])
+        (k1, k2), (h1, h2) = beside(is_kana), beside(is_han)
+        swap = kana & ~k1 & ~k2 & (h1 | h2)
+        cps[swap] = t.look[cps[swap]]
+        flag[row[swap]] = True
     return cps, flag, np.bincount(row, minlength=n)
 
 

@@ -62,3 +62,9 @@ def test_rows(spark):
     assert rows_with_cases(df.where("false"), "id", "t").count() == 0
     clash = df.withColumnRenamed("written_at", "form")
     assert with_form(clash, "t").columns == ["id", "t", "form", "has_case"]
+
+
+def test_katakana_among_ideographs():
+    forms, flags = normalize(pa.array(["渡ロ那邊", "サクラ ユキノ", "カ", "ロ", "人ロ", "渡ロロ", "碑文は力トカ"]))
+    assert forms.to_pylist() == ["渡口那邊", "サクラ ユキノ", "カ", "ロ", "人口", "渡ロロ", "碑文は力トカ"]
+    assert list(flags) == [True, False, False, False, True, False, False]
