@@ -1,13 +1,16 @@
 """Frequency of every distinct value, by recursive radix spilling.
 
-Terms are cut into partitions by the leading bits of their hash and written to the shared folder. Partitions that came out too large are split again by
-the next bits, level after level, until each fits; then each is aggregated out of core by DuckDB inside one task. Before anything is written, a task adds
-up its own rows, so a term that half of all rows hold is one row a task and cannot make a partition large, however hot it is.
+Terms are cut into partitions by the leading bits of their hash. Partitions that are too large are split again by the next bits, level after level, until
+each fits; the sizes are counted before any row moves, so every row is spilled to disk once, by one shuffle to its final partition, and each partition is
+aggregated out of core by DuckDB inside one task. Before that a task adds up its own rows, so a term that half of all rows hold is one row a task and
+cannot make a partition large, however hot it is.
 """
 
 from __future__ import annotations
 
+import math
 import os
+import tempfile
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenograph.session import materialize, scratch_path
+from scenograph.session import materialize
 
 COUNTS = "field string, term string, occurrences long, records long"
 
@@ -96,69 +99,57 @@ def partial_counts(df: DataFrame, fields: dict[str, str], room: int = 1_000_000)
     return flat.mapInArrow(run, COUNTS)
 
 
-def _bits(level: int, bits: int) -> Column:
-    """The level-th group of hash bits, from the top. All 64 bits serve: 64 // bits levels."""
-    h = F.xxhash64("field", "term")
-    return F.shiftrightunsigned(h, 64 - bits * (level + 1)).bitwiseAND((1 << bits) - 1).cast("int")
-
+def radix_partitions(partials: DataFrame, bits: int | None = None, most_rows: int = 2_000_000) -> tuple[DataFrame, int]:
+    """The rows with their partition `_p` (level and leading bits of the hash), and the number of partitions.
 
-def radix_counts(partials: DataFrame, bits: int = 5, most_rows: int = 2_000_000, memory_mb: int = 256) -> DataFrame:
+    The first level has enough bits for partitions of most_rows rows and for every shuffle partition; each partition of more rows is split by as many
+    further bits, and so on until it fits, one term holds the rows, or the bits end. Only sizes of partitions come to the driver.
+    """
+    if bits is None:
+        rows = partials.count()
+        tasks = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bits = min(16, max(1, math.ceil(math.log2(max(rows / most_rows, tasks, 2)))))
+    h = F.xxhash64("field", "term")
+    prefix = lambda level: F.shiftrightunsigned(h, 64 - bits * (level + 1))
+    place, todo, partitions, level = None, partials, 0, 0
+    while True:
+        sizes = todo.groupBy(prefix(level).alias("v")).agg(F.count("*").alias("n"), F.min(h).alias("a"), F.max(h).alias("b")).collect()
+        large = [r.v for r in sizes if r.n > most_rows and r.a != r.b] if (level + 2) * bits <= 64 else []
+        partitions += len(sizes) - len(large)
+        here = F.concat_ws("_", F.lit(level), prefix(level).cast("string"))
+        fits = ~prefix(level).isin(large) if large else F.lit(True)
+        place = F.when(fits, here) if place is None else place.when(fits, here)
+        if not large:
+            return partials.withColumn("_p", place), max(1, partitions)
+        todo, level = todo.where(prefix(level).isin(large)), level + 1
+
+
+def radix_counts(partials: DataFrame, bits: int | None = None, most_rows: int = 2_000_000, memory_mb: int = 256) -> DataFrame:
     """Add up partial counts; the result has one row for each (field, term).
 
-    Level by level each partition of more than most_rows rows is split by `bits` more bits of the hash. Only the sizes of partitions, at most
-    2**bits for each that was split, come to the driver. Splitting ends where the bits end or where splitting no longer helps (one term holds the rows),
-    and DuckDB, with memory_mb and a spill folder in the shared folder, takes such a partition whole.
+    Rows of one term share all their hash bits, so they meet in one task. DuckDB takes its rows within memory_mb and spills what is more to the
+    executor's own scratch folder, which Spark assigns; nothing there outlives the task.
     """
-    spark = partials.sparkSession
-    folder = scratch_path(spark, "terms")
-    done: list[DataFrame] = []
-    todo, level = partials, 0
-    while todo is not None:
-        part = todo.withColumn("_p", F.concat(F.col("_p") if level else F.lit("p"), F.lit("_"), _bits(level, bits)))
-        path = f"{folder}/level{level}"
-        # one shuffle by the leading bits, so that each partition is one file in one folder and no task opens them all
-        part.repartition("_p").write.partitionBy("_p").parquet(path)
-        there = spark.read.schema(part.schema).parquet(path)
-        sizes = there.groupBy("_p").agg(F.count("*").alias("n")).collect()
-        large = [r["_p"] for r in sizes if r["n"] > most_rows] if (level + 2) * bits <= 64 else []
-        if not sizes:
-            break
-        fits = there.where(~F.col("_p").isin(large)) if large else there
-        done.append(fits)
-        todo, level = (there.where(F.col("_p").isin(large)) if large else None), level + 1
-    if not done:
-        return partials
-    spill = folder + "/spill"
-    local = spill.removeprefix("file://") if spill.startswith(("file://", "/")) else None
+    split, partitions = radix_partitions(partials, bits, most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB"})
-        if local:
-            os.makedirs(local, exist_ok=True)
-            con.execute(f"set temp_directory='{local}/{os.getpid()}'")
-        else:  # a shared folder that is no file system path: partitions stay in memory, which their row bound allows
-            con.execute("set temp_directory=''")
-            con.execute(f"set memory_limit='{4 * memory_mb}MB'")
-        schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
-        con.execute("create table sums (field varchar, term varchar, occurrences bigint, records bigint)")
-        for b in batches:
-            rows = pa.Table.from_batches([b])
-            con.register("incoming", rows)
-            con.execute("insert into sums select field, term, occurrences, records from incoming")
-            con.unregister("incoming")
-        got = con.execute("select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from sums group by all").to_arrow_reader(50_000)
-        for b in got:
-            yield pa.RecordBatch.from_arrays([b.column(i).cast(t.type) for i, t in enumerate(schema)], schema=schema)
-        con.close()
-
-    out = None
-    for fits in done:
-        # rows of one term share all their hash bits, so they meet in one task; several partitions may share a task
-        one = fits.repartition("_p").select("field", "term", "occurrences", "records").mapInArrow(run, COUNTS)
-        out = one if out is None else out.unionByName(one)
-    return out
+        with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as spill:
+            con = duckdb.connect(os.path.join(spill, "sums"), config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill})
+            schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+            con.execute("create table sums (field varchar, term varchar, occurrences bigint, records bigint)")
+            for b in batches:
+                rows = pa.Table.from_batches([b])
+                con.register("incoming", rows)
+                con.execute("insert into sums select field, term, occurrences, records from incoming")
+                con.unregister("incoming")
+            got = con.execute("select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from sums group by all").to_arrow_reader(50_000)
+            for b in got:
+                yield pa.RecordBatch.from_arrays([b.column(i).cast(t.type) for i, t in enumerate(schema)], schema=schema)
+            con.close()
+
+    return split.repartition(min(partitions, 100_000), "_p").select("field", "term", "occurrences", "records").mapInArrow(run, COUNTS)
 
 
 def marked(counts: DataFrame, total: Column, fewest: int = 3, most_share: float = 0.1) -> DataFrame:
