@@ -148,20 +148,36 @@ def fit(texts: pa.Array, labels: np.ndarray, names: list[str], how: Fit = Fit())
     ok = col >= 0
     once = np.unique(where[ok] * np.int64(max(len(keep), 1)) + col[ok])
     row, col = once // max(len(keep), 1), once % max(len(keep), 1)
-    y = labels[doc].astype(float)
-    allowed = y > 0
-    weights, bias = np.zeros((len(keep), m)), np.full(m, -2.0)
-    for number in range(how.rounds):
-        weights, bias = _logistic(row, col, n, len(keep), y, how)
-        z = np.empty((n, m))
-        for s in range(m):
-            z[:, s] = np.bincount(row, weights=weights[col, s], minlength=n) + bias[s]
-        # a sentence keeps its document's label where it speaks for it; readers do not name every subject, so a clear voice counts without label
-        y = np.where(allowed, z > (-0.5 if number == 0 else 0), z > 3).astype(float)
+    # thresholds come from documents that the weights they are judged by have not seen: each half of the documents is scored by the other
+    half = np.arange(len(labels)) % 2 == 1
+    z = np.zeros((n, m))
+    for fold in (half, ~half):
+        weights, bias = _rounds(row, col, labels[doc], fold[doc], len(keep), how)
+        z[~fold[doc]] = _scores(row, col, n, weights, bias)[~fold[doc]]
     shares = calibrate(z, doc, labels, how)
+    weights, bias = _rounds(row, col, labels[doc], np.ones(n, bool), len(keep), how)
     return Model(names, values[keep] if len(keep) else np.zeros(1, np.uint64), weights if len(keep) else np.zeros((1, m)), bias, shares)
 
 
+def _scores(row: np.ndarray, col: np.ndarray, n: int, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.stack([np.bincount(row, weights=weights[col, s], minlength=n) + bias[s] for s in range(weights.shape[1])], 1)
+
+
+def _rounds(row: np.ndarray, col: np.ndarray, labelled: np.ndarray, use: np.ndarray, f: int, how: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on the sentences in use, again with the labels that the sentences themselves bear out."""
+    number_of = np.cumsum(use) - 1
+    mine = use[row]
+    row, col, labelled = number_of[row[mine]], col[mine], labelled[use]
+    n, y = int(use.sum()), labelled.astype(float)
+    weights, bias = np.zeros((f, y.shape[1])), np.full(y.shape[1], -2.0)
+    for number in range(how.rounds):
+        weights, bias = _logistic(row, col, n, f, y, how)
+        # a sentence keeps its document's label where it speaks for it; readers do not name every subject, so a clear voice counts without label
+        z = _scores(row, col, n, weights, bias)
+        y = np.where(labelled, z > (-0.5 if number == 0 else 0), z > 3).astype(float)
+    return weights, bias
+
+
 def _logistic(row: np.ndarray, col: np.ndarray, n: int, f: int, y: np.ndarray, how: Fit) -> tuple[np.ndarray, np.ndarray]:
     """Each subject by itself: logistic loss with ridge, by gradient steps scaled per feature (Adagrad)."""
     m = y.shape[1]
@@ -247,6 +263,6 @@ def subject_shares(documents: DataFrame, model: Model, doc_id: str = "doc_id", t
 
 def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """Fit on the labelled documents and assign subjects to all documents."""
-    names = [r[0] for r in subjects.select("subject").where("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    names = [r[0] for r in subjects.select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
     texts, y = labelled_sample(documents, labels, names, how)
     return subject_shares(documents, fit(texts, y, names, how))
