@@ -139,7 +139,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_bins: int = 2048, ful
     pieces = rows.where("n_tokens > 0").select("row", "item", F.posexplode(F.expr(f"transform(sequence(0L, (n_tokens - 1) div {capacity}), i -> least({capacity}L, n_tokens - i * {capacity}L))")).alias("piece", "n_tokens"))
     total = pieces.agg(F.sum("n_tokens")).first()[0] or 0
     # a piece that fills a container is not packed
-    whole = pieces.where(F.col("n_tokens") == capacity).select("row", "item", "piece", "n_tokens", (F.col("row") * (1 << 13) + F.col("piece")).alias("container"))
+    whole = pieces.where(F.col("n_tokens") == capacity).select("row", "item", "piece", "n_tokens", F.monotonically_increasing_id().alias("container"))
     rest = pieces.where(F.col("n_tokens") < capacity)
     first = materialize(_round(rest, 1, total, capacity, shard_bins), "packed")
     loose = first.where(F.col("used") < full * capacity)
