@@ -4,9 +4,13 @@ Passages and documents are brought to one stream form: the consistent form of te
 blank between ideographs. A run of n characters with at most k edits keeps at least n - q + 1 - kq of its character q-grams, and these lie on diagonals
 (place in the document minus place in the passage) at most k apart. So shared q-grams are counted in overlapping diagonal bands of width 2(k + 1);
 bands that reach the bound of the passage's shortest run are kept, and verified by a banded alignment. An exact check of runs may follow.
+q is at most the run's length over k + 1, so the bound is at least 1 and no run escapes it.
 
-The passages' q-grams are sorted arrays broadcast in blocks of at most `block_chars` characters, so what a broadcast holds is bounded however many
-passages there are; each block meets all documents. Documents are never shuffled for the search, and each is searched whole.
+Only passages of which a document holds an anchor are counted: of the q-grams of each run the kq + 1 that the fewest passages hold, one of which survives
+k edits. So a line that many passages begin with costs nothing in documents that hold that line alone.
+
+The passages' q-grams are sorted arrays broadcast in blocks of at most `block_chars` characters, one block at a time, so what a broadcast holds is bounded
+however many passages there are; each block reads all documents. Documents are never shuffled for the search, and each is searched whole.
 """
 
 from __future__ import annotations
@@ -14,13 +18,16 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenograph.llm import textform
+from scenograph.session import materialize
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BLANK = 0x20
@@ -109,7 +116,7 @@ def powers_inverse(n: int) -> np.ndarray:
 class Index:
     """The q-grams of one block of passages."""
 
-    kinds: list  # (q, sorted hashes, passage, place, bitmap)
+    kinds: list  # (q, sorted hashes, passage, place, bitmap, whether an anchor)
     ids: np.ndarray
     text: list[np.ndarray]
     shortest: np.ndarray  # characters of the shortest run that counts
@@ -122,53 +129,105 @@ def build_index(ids: list[int], passages: list[str | None], chinese: list[bool],
     cps, offs = stream(pa.array(passages, pa.string()))
     text = [cps[a:b] for a, b in zip(offs[:-1], offs[1:])]
     shortest, bound = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    by_q: dict[int, list[int]] = {}
+    for i, x in enumerate(text):
+        q = rule.q_ideographs if chinese[i] else rule.q
+        if chinese[i]:
+            length = rule.ideographs if len(x) >= rule.ideographs else 0
+        else:
+            starts = np.concatenate(([0], np.flatnonzero(x == BLANK) + 1, [len(x) + 1]))
+            length = int((starts[rule.words :] - 1 - starts[: -rule.words]).min()) if len(starts) > rule.words else 0
+        if not length:
+            continue
+        while q > 1 and length < q * (rule.edits + 1):
+            q //= 2
+        shortest[i], bound[i] = length, max(1, length - q + 1 - rule.edits * q)
+        by_q.setdefault(q, []).append(i)
     kinds = []
-    for q, zh in ((rule.q, False), (rule.q_ideographs, True)):
-        hashes, owner, place = [], [], []
-        for i, x in enumerate(text):
-            if chinese[i] != zh:
-                continue
-            if zh:
-                length = rule.ideographs if len(x) >= rule.ideographs else 0
-            else:
-                starts = np.concatenate(([0], np.flatnonzero(x == BLANK) + 1, [len(x) + 1]))
-                length = int((starts[rule.words :] - 1 - starts[: -rule.words]).min()) if len(starts) > rule.words else 0
-            if not length:
-                continue
-            shortest[i] = length
-            bound[i] = max(1, length - q + 1 - rule.edits * q)
-            h = gram_hashes(x, q)
-            hashes.append(h)
-            owner.append(np.full(len(h), i, np.int32))
-            place.append(np.arange(len(h), dtype=np.int32))
-        if hashes:
-            h, o, p = map(np.concatenate, (hashes, owner, place))
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            kinds.append((q, h[order], o[order], p[order], bits))
+    for q, own in by_q.items():
+        grams = [gram_hashes(text[i], q) for i in own]
+        h = np.concatenate(grams)
+        o = np.repeat(np.array(own, np.int64), [len(g) for g in grams])
+        p = np.concatenate([np.arange(len(g), dtype=np.int64) for g in grams])
+        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+        cuts = np.cumsum([len(g) for g in grams])[:-1]
+        anchor = np.concatenate([_anchors(c, int(shortest[i]) - q + 1, rule.edits * q + 1) for i, c in zip(own, np.split(counts[inverse], cuts))])
+        order = np.lexsort((p, o, h))
+        bits = np.zeros(1 << 22, bool)
+        bits[(h >> np.uint64(42)).astype(np.int64)] = True
+        kinds.append((q, h[order], o[order], p[order], bits, anchor[order]))
     return Index(kinds, np.array(ids, np.int64), text, shortest, bound, np.array(chinese))
 
 
+def _anchors(counts: np.ndarray, window: int, most: int) -> np.ndarray:
+    """Which q-grams are among the `most` rarest of some `window` neighbours (all, if there are no more)."""
+    n = len(counts)
+    if window <= most or n <= window:
+        return np.ones(n, bool) if window <= most else np.isin(np.arange(n), np.argsort(counts, kind="stable")[:most])
+    out = np.zeros(n, bool)
+    rank = counts.astype(np.int64) * n + np.arange(n)
+    views = np.lib.stride_tricks.sliding_window_view(rank, window)
+    for a in range(0, len(views), 1 << 14):
+        out[np.unique(np.partition(views[a : a + (1 << 14)], most - 1, axis=1)[:, :most] % n)] = True
+    return out
+
+
+def _runs(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... (n of them), one after another."""
+    return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _postings(hashes: np.ndarray, owner: np.ndarray, anchor: np.ndarray, h: np.ndarray, doc: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, posting) of the passages of which the hit's document holds an anchor. Postings of q-grams that more than `few` share are looked up per passage."""
+    at = np.flatnonzero(anchor)
+    low, high = (np.searchsorted(hashes[at], h, side) for side in ("left", "right"))
+    first = _runs(low, high - low)
+    items = int(owner.max()) + 1
+    pairs = np.unique(np.repeat(doc, high - low) * items + owner[at[first]])
+    low, n = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+    n -= low
+    rare = np.flatnonzero(n <= few)
+    j = _runs(low[rare], n[rare])
+    hit = np.repeat(rare, n[rare])
+    k = np.searchsorted(pairs, key := doc[hit] * items + owner[j])
+    k[k == len(pairs)] = 0
+    ok = pairs[k] == key if len(pairs) else np.zeros(len(key), bool)
+    hits, posts = [hit[ok]], [j[ok]]
+    hot = np.flatnonzero(n > few)
+    if len(hot) and len(pairs):
+        a, b = (np.searchsorted(pairs, (doc[hot] + k) * items) for k in (0, 1))
+        cand = pairs[_runs(a, b - a)] % items
+        hit = np.repeat(hot, b - a)
+        start = np.searchsorted(hashes, hashes, "left")
+        composite = start * items + owner
+        want = low[hit] * items + cand
+        x, y = np.searchsorted(composite, want, "left"), np.searchsorted(composite, want, "right")
+        hits.append(np.repeat(hit, y - x))
+        posts.append(_runs(x, y - x))
+    return np.concatenate(hits), np.concatenate(posts)
+
+
 def regions(cps: np.ndarray, offs: np.ndarray, index: Index, edits: int) -> np.ndarray:
     """Rows (document, passage, first and last place in the document, lowest and highest diagonal) of the bands that reach their bound."""
     found = []
     width = 2 * (edits + 1)
-    for q, hashes, owner, place, bits in index.kinds:
+    for q, hashes, owner, place, bits, anchor in index.kinds:
         h = gram_hashes(cps, q)
         at = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
         if not len(at):
             continue
-        low = np.searchsorted(hashes, h[at], "left")
-        n = np.searchsorted(hashes, h[at], "right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        k = np.searchsorted(hashes, h[at])
+        k[k == len(hashes)] = 0
+        at = at[hashes[k] == h[at]]
         doc = np.searchsorted(offs, at, "right") - 1
         inside = at + q <= offs[doc + 1]  # a q-gram across two texts is none
-        at, low, n, doc = at[inside], low[inside], n[inside], doc[inside]
+        at, doc = at[inside], doc[inside]
         if not len(at):
             continue
-        j = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos, doc, item = np.repeat(at, n), np.repeat(doc, n), owner[j].astype(np.int64)
+        hit, j = _postings(hashes, owner, anchor, h[at], doc)
+        if not len(hit):
+            continue
+        pos, doc, item = at[hit], doc[hit], owner[j]
         diagonal = pos - offs[doc] - place[j] + (1 << 20)  # passages are far shorter than this shift
         for shift in (0, width // 2):  # bands overlap by half, so diagonals at most width / 2 apart meet in one
             band = (diagonal + shift) // width
@@ -285,12 +344,21 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     spark = documents.sparkSession
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p")).distinct()
-    out = None
+    done: list[DataFrame] = []
+    last = None
+
+    def settled(found: DataFrame, shared) -> DataFrame:
+        out = materialize(found, "leaked")
+        shared.destroy()
+        return out
+
     for block in _blocks(rows, rule.block_chars):
-        found = _search(spark, docs, block, rule, exact)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long")
+        if last:
+            done.append(settled(*last))
+        last = _search(spark, docs, block, rule, exact)
+    if not last:
+        return spark.createDataFrame([], "doc_id long, item_id long")
+    out = reduce(DataFrame.unionByName, [*done, settled(*last)]) if done else last[0]
     return out.distinct()
 
 
@@ -307,7 +375,7 @@ def _blocks(rows: DataFrame, most: int) -> Iterator[list]:
         yield block
 
 
-def _search(spark, docs: DataFrame, block: list, rule: Rule, exact: bool) -> DataFrame:
+def _search(spark, docs: DataFrame, block: list, rule: Rule, exact: bool) -> tuple[DataFrame, Broadcast]:
     cps, offs = stream(pa.array([p for _, p in block], pa.string()))
     han = (textform.tables().cls[cps] & textform.HAN) != 0
     share = np.concatenate(([0], np.cumsum(han)))
@@ -332,4 +400,4 @@ def _search(spark, docs: DataFrame, block: list, rule: Rule, exact: bool) -> Dat
             ids = b.column(0).take(pa.array([d for d, _ in rows], pa.int64())).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(index.ids[[i for _, i in rows]] if rows else [], pa.int64())], names=["doc_id", "item_id"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long")
+    return docs.mapInArrow(run, "doc_id long, item_id long"), shared

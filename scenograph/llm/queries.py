@@ -78,6 +78,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+def p7_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a run of a passage with at most one edit in it."""
+    return leakage.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"), rule=leakage.Rule(edits=1), exact=False)
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Per leaked item: its task and the number of documents that contain it."""
     per_item = p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -97,6 +102,6 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p8_found": p8_found, "p8_composition": p8_composition, "p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p8_found": p8_found, "p8_composition": p8_composition, "p4_found": p4_found, "p4_classes": p4_classes, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_edits": p7_edits, "p7_items": p7_items, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_forms": p3_forms}
 
 SQL: dict[str, str] = {}

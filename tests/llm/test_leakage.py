@@ -71,6 +71,49 @@ def test_edit_budget(spark):
     assert {r.doc_id for r in leaked(a, b, rule=Rule(words=17, q=8)).collect()} == {1}
 
 
+def within(doc, window, edits):
+    """Whether some part of doc is at most so many edits from window."""
+    row = [0] * (len(doc) + 1)
+    for i, x in enumerate(window, 1):
+        last, row = row, [i]
+        for j, y in enumerate(doc, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return min(row) <= edits
+
+
+def test_one_edit_against_brute_force(spark):
+    rnd = random.Random(5)
+    words = ["a", "bell", "song", "lantern", "quiet", "of", "it", "zorve", "mist"]
+    line = "read the passage and answer the question that follows it now please"
+    items = [(i, line + " " + " ".join(rnd.choices(words, k=22))) for i in range(24)]  # more passages share the line than a posting list is read for
+    docs = [(900, line), (901, line + " " + line)]
+    for d in range(80):
+        p = items[rnd.randrange(24)][1].split(" ")
+        at = rnd.randrange(12, 22)
+        piece = list(" ".join(p[at : at + rnd.randint(8, 13)]))
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(len(piece))
+            piece[k : k + 1] = rnd.choice(["", "x", piece[k] + "y"])
+        docs.append((d, "before this " + "".join(piece) + " and after"))
+    rule = Rule(words=9, edits=1)
+    expected = set()
+    for i, p in items:
+        starts = [0, *[k + 1 for k, c in enumerate(p) if c == " "], len(p) + 1]
+        length = min(b - 1 - a for a, b in zip(starts, starts[9:]))
+        windows = {p[k : k + length] for k in range(len(p) - length + 1)}
+        expected |= {(d, i) for d, t in docs if any(within(text_of(t), w, 1) for w in windows)}
+    a, b = spark.createDataFrame([(d, t, 0) for d, t in docs], DOCS), spark.createDataFrame([(i, p, "") for i, p in items], ITEMS)
+    got = {tuple(r) for r in leaked(a, b, rule=rule, exact=False).collect()}
+    assert got == expected and len({d for d, _ in got if d < 900}) > 20
+
+
+def test_anchors_hit_every_window():
+    rnd = random.Random(1)
+    for n, window, most in ((50, 10, 1), (50, 10, 4), (9, 10, 2), (5, 3, 3), (1, 1, 1)):
+        marks = leakage._anchors(np.array([rnd.randint(1, 5) for _ in range(n)]), window, most)
+        assert all(marks[k : k + window].sum() >= min(most, n) for k in range(max(1, n - window + 1)))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(97, 100), min_size=1, max_size=60), st.integers(1, 9))
 def test_equal_grams_have_equal_hashes(cps, q):

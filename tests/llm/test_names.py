@@ -25,7 +25,7 @@ def test_radius_join_finds_every_pair(spark):
         words = {"".join(rnd.choices("abc", k=rnd.randint(3, 7))) for _ in range(120)}
         long = ["".join(rnd.choices("abc", k=k)) for k in (60, 64, 65, 66, 67, 68, 70, 90)]
         for w in long:  # long names, about where their cells change, with up to three edits
-            for _ in range(12):
+            for _ in range(4):
                 x = list(w)
                 for _ in range(rnd.randint(1, 3)):
                     k = rnd.randrange(len(x))
