@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,17 +79,29 @@ def content_text(description: Column | str, changes: Column | str) -> Column:
     return F.concat(F.coalesce(_c(description), F.lit("")), F.when(F.size(events) > 0, F.concat(F.lit("\n"), F.array_join(events, "\n"))).otherwise(""))
 
 
+# What the embedding model wants before texts to be found and before questions.
+DOCUMENT, QUERY = "passage: ", "query: "
+
+
 def document_text(text: Column | str) -> Column:
-    return F.concat(F.lit("title: none | text: "), _c(text))
+    return F.concat(F.lit(DOCUMENT), F.coalesce(_c(text), F.lit("")))
 
 
 def query_text(text: Column | str) -> Column:
-    return F.concat(F.lit("task: search result | query: "), _c(text))
+    return F.concat(F.lit(QUERY), F.coalesce(_c(text), F.lit("")))
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
 def reasoning(text: Column | str, tag: str = "think") -> tuple[Column, Column]:
-    """(what stands in the tag, the rest trimmed)."""
-    return F.regexp_extract(_c(text), f"(?s)<{tag}>(.*?)</{tag}>", 1), F.trim(F.regexp_replace(_c(text), f"(?s)<{tag}>.*?</{tag}>", ""))
+    """(what stands in the first tag, what follows it), both trimmed; without a tag an empty string and the text."""
+    text = F.coalesce(_c(text), F.lit(""))
+    inside = F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    rest = F.regexp_replace(text, f"(?s)\\A.*?<{tag}>.*?</{tag}>", "")
+    return stripped(inside), F.when(text.rlike(f"(?s)<{tag}>.*?</{tag}>"), stripped(rest)).otherwise(text)
 
 
 def json_narrow(text: Column | str) -> Column:
@@ -103,13 +117,35 @@ def lenient_flag(text: Column | str, field: str = "combine") -> Column:
     return F.coalesce(read, F.when(low.contains(field), low.contains("true")).otherwise(True))
 
 
-def strip_template_tokens(text: Column | str) -> Column:
-    """Without channel blocks, turn marks and stray special tokens of chat templates."""
-    out = F.regexp_replace(_c(text), r"(?s)<\|channel\|?>.*?<\|?channel\|>", "")
-    out = F.regexp_replace(out, r"(?s)<start_of_turn>\w*|<end_of_turn>", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?s)<\|[^<>]*?\|>", ""), r"\A\s+|\s+\z", "")
+# Tool calls that a chat template left in a text.
+TOOL_CALLS = (r"<\|?tool_call\|?>.*?<\|?/?tool_call\|?>", r"<\|tool_call\|>.*?<\|/tool_call\|>", r"<tool_call>.*?</tool_call>")
+
+
+def strip_tool_calls(text: Column | str) -> Column:
+    """Without tool calls that stand in the text, trimmed."""
+    out = _c(text)
+    for pattern in TOOL_CALLS:
+        out = F.regexp_replace(out, "(?s)" + pattern, "")
+    return stripped(out)
 
 
 def front_matter(text: Column | str) -> Column:
-    """Text without a leading block between lines of three dashes."""
-    return F.regexp_replace(_c(text), r"(?s)\A---\n.*?\n---\n", "")
+    """Text without a leading block between lines of three dashes, and without empty lines before what follows."""
+    return F.regexp_replace(F.regexp_replace(_c(text), r"(?s)\A---\s*\n.*?\n---\s*\n", ""), r"\A\n+", "")
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """A template with each $name or ${name} replaced by the value of that name, null by an empty text; $$ is a dollar sign. A name without a value is an error."""
+    parts, at = [], 0
+    for m in re.finditer(r"\$(?:(\$)|\{(\w+)\}|(\w+))", template):
+        name = m[2] or m[3]
+        parts += [F.lit(template[at : m.start()]), F.lit("$") if m[1] else F.coalesce(values[name].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def log_name(scene: Column, keyword: Column, existing: Column) -> Column:
+    """The name of a step's log: scene, whether the entity was there, keyword and a hash of the entity."""
+    kind = F.when(existing.isNotNull(), "merge").otherwise("new")
+    number = F.lpad(scene.cast("string"), 3, "0")
+    return F.concat(F.lit("scene_"), F.when(F.length(scene.cast("string")) > 3, scene.cast("string")).otherwise(number), F.lit("_extraction_"), kind, F.lit("_"), keyword, F.lit("_"), F.left(F.md5(F.coalesce(existing, F.lit(""))), F.lit(8)), F.lit(".json"))

@@ -10,8 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenograph.functions.text import estimated_tokens
-
 CONTEXT, GATE, ITERATIONS = 65_536, 0.7, 20
 
 
@@ -25,11 +23,14 @@ def route(ratio: Column, iteration: Column, has_calls: Column, gate: float = GAT
 
 
 def progress(messages: DataFrame, context: int = CONTEXT, gate: float = GATE, most: int = ITERATIONS) -> DataFrame:
-    """Messages with tokens used so far, the ratio, the number of plans so far and the route after each plan."""
+    """Messages with tokens used so far, the ratio, the number of plans so far and the route after each plan.
+
+    Used are half the characters of all messages so far and of the notes taken of their tool results, rounded down once.
+    """
     w = Window.partitionBy("conversation").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     calls = F.lead("role").over(Window.partitionBy("conversation").orderBy("pos")) == "tool"
-    out = messages.withColumn("tokens", estimated_tokens("content"))
-    out = out.withColumn("used", F.sum("tokens").over(w)).withColumn("iteration", F.sum((F.col("role") == "ai").cast("int")).over(w)).withColumn("calls", F.coalesce(calls, F.lit(False)))
+    chars = F.length(F.coalesce("content", F.lit(""))) + F.when(F.col("role") == "tool", F.length(note())).otherwise(0)
+    out = messages.withColumn("used", F.floor(F.sum(chars).over(w) / 2)).withColumn("iteration", F.sum((F.col("role") == "ai").cast("int")).over(w)).withColumn("calls", F.coalesce(calls, F.lit(False)))
     out = out.withColumn("ratio", token_ratio(F.col("used"), context))
     return out.withColumn("route", F.when(F.col("role") == "ai", route(F.col("ratio"), F.col("iteration"), F.col("calls"), gate, most)))
 

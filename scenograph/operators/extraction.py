@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenograph.functions.predicates import valid_context, valid_keyword
+from scenograph.functions.predicates import TYPES, valid_context, valid_keyword
 from scenograph.functions.text import tokens
 
 # Two or more capitalised words in a row.
@@ -46,6 +46,12 @@ def slim(entities: DataFrame, fields: str = "struct<keyword:string,aliases:array
     return e.select("entity_uuid", text("keyword", "keyword").alias("keyword"), text("type", "entity_type").alias("type"), text("description", "description").alias("description"), many("aliases").alias("aliases"), many("categories").alias("categories"))
 
 
+def extended_types(existing: Column | str) -> Column:
+    """The types a prompt offers: the base types and those in use, as far as they are base types; each once, base types first."""
+    base = F.array(*map(F.lit, TYPES))
+    return F.array_intersect(F.array_union(base, F.coalesce(F.col(existing) if isinstance(existing, str) else existing, base)), base)
+
+
 def shown(df: DataFrame) -> DataFrame:
     """Without columns that are internal: uuid and those that begin with an underscore."""
     return df.select(*[c for c in df.columns if c != "uuid" and not c.startswith("_")])

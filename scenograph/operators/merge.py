@@ -89,7 +89,7 @@ def fold(mentions: DataFrame) -> DataFrame:
         "novel_hash", "vol_num", "keyword",
         F.get(types, F.lit(0)).alias("entity_type"),
         flat(lambda x: F.coalesce(x.aliases, F.array().cast("array<string>"))).alias("aliases"),
-        F.array_sort(F.array_union(flat(lambda x: F.coalesce(x.categories, F.array().cast("array<string>"))), F.slice(types, 2, 1000))).alias("categories"),
+        F.array_sort(F.array_union(flat(lambda x: F.coalesce(x.categories, F.array().cast("array<string>"))), F.filter(types, lambda t, i: i > 0))).alias("categories"),
         F.array_distinct(F.filter(F.transform("m", lambda x: x.scene_index), lambda s: s > 0)).alias("appeared_in"),
         F.size("m").alias("mentions"),
     )

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scenograph.functions.text import SENTENCE_END, TOKEN, estimated_tokens, sentence_split, structural_split
 from scenograph.functions.vectors import BUCKETS
@@ -74,30 +75,61 @@ def semantic_pieces(pieces: DataFrame, keys: list[str], text: str, buffer: int =
 def fold_pieces(pieces: DataFrame, keys: list[str], order: list[str], tokens: str, together: str, cap: int = CAP, floor: int = FLOOR) -> DataFrame:
     """(keys, scene_index, first, pieces, tokens): neighbouring pieces become scenes.
 
-    A piece joins the scene before it if `together` says so and both are at most `cap` tokens; then scenes under `floor` tokens join the one before,
-    a small first one the one after. The fold is an expression over each group's ordered pieces; it holds sizes, never texts.
+    A piece joins the scene before it if `together` says so (null: yes) and both are at most `cap` tokens; then scenes under `floor` tokens join the one
+    before, a small first one the one after. Sizes alone stream through the fold in order, so a group of any length takes constant memory and linear time.
     """
-    rows = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("int").alias("t"), F.col(together).cast("boolean").alias("j")))).alias("p"))
-    kind = "array<struct<first:int,n:int,t:int>>"
-    start = F.array().cast(kind)
-
-    def add(acc, x, i, joins):
-        last = F.element_at(acc, -1)
-        one = F.struct(i.cast("int").alias("first"), F.lit(1).alias("n"), x.t.alias("t"))
-        merged = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["t"] + x.t).alias("t"))
-        return F.when(F.size(acc) == 0, F.array(one)).when(joins(last, x), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(one))).cast(kind)
-
-    numbered = F.transform("p", lambda x, i: F.struct(i.alias("i"), x.t.alias("t"), F.coalesce(x.j, F.lit(True)).alias("j")))
-    folded = F.aggregate(numbered, start, lambda acc, x: add(acc, x, x.i, lambda last, y: y.j & (last["t"] + y.t <= cap)))
-
-    def absorb(acc, s):
-        last = F.element_at(acc, -1)
-        merged = F.struct(last["first"].alias("first"), (last["n"] + s["n"]).alias("n"), (last["t"] + s["t"]).alias("t"))
-        small_first = (F.size(acc) == 1) & (last["t"] < floor)
-        return F.when(F.size(acc) == 0, F.array(s)).when((s["t"] < floor) | small_first, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(s))).cast(kind)
-
-    scenes = rows.withColumn("f", folded).withColumn("s", F.aggregate("f", start, absorb))
-    return scenes.select(*keys, F.posexplode("s").alias("i", "s")).select(*keys, (F.col("i") + 1).alias("scene_index"), F.col("s.first").alias("first"), F.col("s.n").alias("pieces"), F.col("s.t").alias("tokens"))
+    place = [F.col(c) for c in order]
+    rows = pieces.select(*keys, *place, F.col(tokens).cast("int").alias("_t"), F.coalesce(F.col(together).cast("boolean"), F.lit(True)).alias("_j"))
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "_t").select(*keys, "_t", "_j")
+    schema = T.StructType([*placed.select(*keys).schema.fields, *(T.StructField(n, T.IntegerType()) for n in ("scene_index", "first", "pieces", "tokens"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = None, 0
+        scene = last = None  # [first, pieces, tokens] of the scene being joined, and of the one before that may still take in small ones
+        number = 0
+        out: list[tuple] = []
+
+        def absorb(s: list[int] | None) -> None:
+            nonlocal last, number
+            if s is not None and last is not None and (s[2] < floor or (number == 0 and last[2] < floor)):
+                last[1] += s[1]
+                last[2] += s[2]
+                return
+            if last is not None:
+                number += 1
+                out.append((*group, number, *last))
+            last = s
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * len(schema.fields)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], names=arrow.names)
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for *key, t, j in zip(*columns):
+                if key != group:
+                    if group is not None:
+                        absorb(scene)
+                        absorb(None)
+                    group, at, scene, last, number = key, 0, None, None, 0
+                t = t or 0
+                if scene is not None and j and scene[2] + t <= cap:
+                    scene[1] += 1
+                    scene[2] += t
+                else:
+                    if scene is not None:
+                        absorb(scene)
+                    scene = [at, 1, t]
+                at += 1
+            yield batch()
+        if group is not None:
+            absorb(scene)
+            absorb(None)
+        yield batch()
+
+    return placed.mapInArrow(run, schema)
 
 
 def split_volumes(volumes: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -42,6 +42,28 @@ def fold(scenes: DataFrame, entities: DataFrame, line: Callable[[], Column] = sc
     return told.join(who, ["novel_hash", "vol_num"], "left").withColumn("background", F.col("outline"))
 
 
+def resume(state: DataFrame, scenes: DataFrame, line: Callable[[], Column] = scene_line) -> DataFrame:
+    """The state after the scenes that wait: (novel_hash, vol_num, updated_scenes, outline, compacted).
+
+    state has the same columns. Scenes it names are skipped, the outline so far is carried on with a line for each new scene in order; volumes without
+    new scenes keep their state, volumes without state begin with an empty one. What changes is no longer compacted.
+    """
+    todo = pending(scenes, state).groupBy("novel_hash", "vol_num").agg(F.array_sort(F.collect_list(F.struct("scene_index", line().alias("line")))).alias("s"))
+    both = state.join(todo, ["novel_hash", "vol_num"], "full")
+    had, new = F.coalesce("updated_scenes", F.array().cast("array<int>")), F.coalesce(F.transform("s", lambda x: x.scene_index), F.array().cast("array<int>"))
+    lines = F.filter(F.concat(F.array("outline"), F.coalesce(F.transform("s", lambda x: x.line), F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+    return both.select("novel_hash", "vol_num", F.array_sort(F.array_union(had, new)).alias("updated_scenes"), F.array_join(lines, " → ").alias("outline"), (F.col("s").isNull() & F.coalesce("compacted", F.lit(False))).alias("compacted"))
+
+
+def compacted(state: DataFrame, scenes: DataFrame, most: int = BACKGROUND) -> DataFrame:
+    """The state with the outline cut to `most` characters where every scene with content is updated and it was not cut before; an empty outline counts as cut."""
+    total = scenes.where("trim(coalesce(content, '')) <> ''").groupBy("novel_hash", "vol_num").agg(F.count("*").alias("_n"))
+    whole = F.coalesce(F.size("updated_scenes") >= F.col("_n"), F.lit(False))
+    cut = whole & ~F.col("compacted")
+    joined = state.join(total, ["novel_hash", "vol_num"], "left")
+    return joined.withColumn("outline", F.when(cut, F.left("outline", F.lit(most))).otherwise(F.col("outline"))).withColumn("compacted", F.col("compacted") | whole).drop("_n")
+
+
 def compact(summaries: DataFrame, scenes: DataFrame, most: int = BACKGROUND) -> DataFrame:
     """Background cut to `most` characters and compacted = true where all scenes of the volume are updated and there is one; others stay as they are."""
     total = scenes.where("trim(coalesce(content, '')) <> ''").groupBy("novel_hash", "vol_num").agg(F.count("*").alias("_n"))

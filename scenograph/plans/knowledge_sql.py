@@ -97,11 +97,22 @@ _CHANGES = lambda c: f"coalesce(json_extract({c}, '$.major_status_changes')::str
 _TRUNCATED = "case when ceil(length({x}) / 2) <= 100 then {x} else substr({x}, 1, floor(length({x}) * 0.85)::int) end"
 
 
+def _seams() -> str:
+    """Current scenes with j: whether the words at the seam to the scene before say that both belong together."""
+    return f""", seam as (select *, lag(coalesce(content, '')) over (partition by novel_hash, vol_num order by scene_index) as before from chunks_),
+words as (select *, list_distinct({_tokens('right(before, 400)')}) as a, list_distinct({_tokens("left(coalesce(content, ''), 400)")}) as b from seam),
+joined as (select *, before is null or coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0) >= 0.05, true) as j from words)"""
+
+
 def _fold(floor: int, joins: bool) -> str:
-    """The fold as a recursive walk over the pieces of every volume."""
-    return CUR + f""" , p as (select novel_hash, vol_num, row_number() over w - 1 as i, coalesce(token_count, 0) as t from chunks_ window w as (partition by novel_hash, vol_num order by scene_index, token_count)),
+    return _fold_by(floor, f", joined as (select *, {str(joins).lower()} as j from chunks_)")
+
+
+def _fold_by(floor: int, joined: str) -> str:
+    """The fold as a recursive walk over the pieces of every volume; joined(.., j) says which join the one before."""
+    return CUR + joined + f""" , p as (select novel_hash, vol_num, row_number() over w - 1 as i, coalesce(token_count, 0) as t, j from joined window w as (partition by novel_hash, vol_num order by scene_index, token_count)),
 walk as (with recursive r as (select novel_hash, vol_num, i, t as total, 0 as grp from p where i = 0
-  union all select p.novel_hash, p.vol_num, p.i, case when {str(joins).lower()} and r.total + p.t <= 4096 then r.total + p.t else p.t end, case when {str(joins).lower()} and r.total + p.t <= 4096 then r.grp else r.grp + 1 end
+  union all select p.novel_hash, p.vol_num, p.i, case when p.j and r.total + p.t <= 4096 then r.total + p.t else p.t end, case when p.j and r.total + p.t <= 4096 then r.grp else r.grp + 1 end
   from r join p on p.novel_hash = r.novel_hash and p.vol_num = r.vol_num and p.i = r.i + 1) select * from r),
 f as (select w.novel_hash, w.vol_num, grp, min(w.i) as first, count(*) as n, sum(p.t) as t from walk w join p using (novel_hash, vol_num, i) group by all),
 ab as (with recursive r as (select novel_hash, vol_num, grp, t as total, 0 as scene from f where grp = 0

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenograph.functions.predicates import NO_KEYWORD, PLACEHOLDER
+from scenograph.functions.predicates import NO_KEYWORD, PLACEHOLDER, not_tainted
 from scenograph.operators import agent, summary
-from scenograph.plans.knowledge import chunks, entities
+from scenograph.plans.knowledge import chunks, entities, questions
+from scenograph.plans.knowledge_sql import ASKED, CUR
 from scenograph.session import scratch_path
 from scenograph.sources import keyvalue, volumes
 from scenograph.streaming import ingest
@@ -36,8 +37,8 @@ def keyvalue_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    """A half-read state: the scenes with even numbers are done."""
-    return chunks(spark, d, *SCENE).where("scene_index % 2 = 0").groupBy("novel_hash", "vol_num").agg(F.collect_set("scene_index").alias("updated_scenes"))
+    """The state as the mentions show it: scenes with mentions have been read."""
+    return read(spark, d, "mentions").groupBy("novel_hash", "vol_num").agg(F.collect_set("scene_index").alias("updated_scenes"))
 
 
 def pending_scenes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +66,19 @@ def vol_summary_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """Every volume as a conversation, its mentions as messages: a question, then plans and tool results in turn."""
-    m = read(spark, d, "mentions").select("novel_hash", "vol_num", "scene_index", "ordinal", "keyword", "context_summary").distinct()
-    w = Window.partitionBy("novel_hash", "vol_num").orderBy("scene_index", "ordinal", "keyword", "context_summary")
-    pos = m.withColumn("pos", F.row_number().over(w) - 1)
-    role = F.when(F.col("pos") == 0, "human").when(F.col("pos") % 2 == 1, "ai").otherwise("tool")
-    return pos.select(F.concat_ws(":", "novel_hash", "vol_num").alias("conversation"), "pos", role.alias("role"), F.col("keyword").alias("name"), F.col("context_summary").alias("content"))
+    """Every stated question as a conversation: the keyword asked for, and what the tools give to it, first the entities of that name, then the scene's text."""
+    q = questions(spark, d).select("mention_id", "novel_hash", "vol_num", F.element_at(F.split("mention_id", ":"), 3).cast("int").alias("scene_index"), "keyword")
+    e = entities(spark, d, "novel_hash", "vol_num", "keyword", "description", "tainted").where(not_tainted()).select("entity_uuid", "novel_hash", F.col("vol_num").alias("e_vol"), F.lower(F.trim("keyword")).alias("k"), "description")
+    hits = q.withColumn("k", F.lower(F.trim("keyword"))).join(e, ["novel_hash", "k"]).where("e_vol <= vol_num")
+    hits = hits.groupBy("mention_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_uuid", F.coalesce("description", F.lit("")).alias("d")))), lambda x: x.d), "\n").alias("found"))
+    text = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "content").select("novel_hash", "vol_num", "scene_index", "content")
+    all_ = q.join(hits, "mention_id", "left").join(text, ["novel_hash", "vol_num", "scene_index"], "left")
+    said = lambda role, name, content: F.struct(F.lit(role).alias("role"), F.lit(name).cast("string").alias("name"), content.alias("content"))
+    turns = F.array(
+        said("human", None, F.col("keyword")), said("ai", None, F.lit("")), said("tool", "find_entity_scenes", F.coalesce("found", F.lit(""))),
+        said("ai", None, F.lit("")), said("tool", "get_scene_content", F.coalesce("content", F.lit(""))), said("ai", None, F.lit("")),
+    )
+    return all_.select(F.col("mention_id").alias("conversation"), F.posexplode(turns).alias("pos", "m")).select("conversation", "pos", "m.*")
 
 
 def token_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +91,8 @@ def route_decision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trailing_tool_run(spark: SparkSession, d: str) -> DataFrame:
-    return agent.trailing_notes(messages(spark, d))
+    """The notes that end each conversation as it stands before its last plan."""
+    return agent.trailing_notes(messages(spark, d).where("pos < 5")).select("conversation", "pos", F.md5("note").alias("note"))
 
 
 def notes_accumulate(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +100,14 @@ def notes_accumulate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Each scene's first mention as a question, all contexts as notes."""
-    m = read(spark, d, "mentions").select("novel_hash", "vol_num", "scene_index", "ordinal", "keyword", "context_summary").distinct()
-    notes = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "keyword", "context_summary"))), lambda x: F.coalesce(x.context_summary, F.lit("")))
-    turns = m.groupBy("novel_hash", "vol_num", "scene_index").agg(F.min(F.coalesce("keyword", F.lit(""))).alias("question"), notes.alias("notes"))
-    turn = F.row_number().over(Window.partitionBy("novel_hash", "vol_num").orderBy("scene_index"))
-    packed = agent.packed_history(turns.select(F.concat_ws(":", "novel_hash", "vol_num").alias("conversation"), turn.alias("turn"), "question", "notes", F.lit(None).cast("string").alias("answer")))
+    """The questions of a volume as turns of one talk, each with the notes that its tools gave."""
+    m = messages(spark, d)
+    notes = F.array_sort(F.collect_list(F.when(F.col("role") == "tool", F.struct("pos", agent.note().alias("note")))))
+    asked = m.groupBy("conversation").agg(F.max(F.when(F.col("role") == "human", F.col("content"))).alias("question"), F.transform(notes, lambda x: x.note).alias("notes"))
+    place = F.split("conversation", ":")
+    talk = F.concat_ws(":", place[0], place[1])
+    turn = F.row_number().over(Window.partitionBy(talk).orderBy(place[2].cast("int"), place[3].cast("int"), "conversation"))
+    packed = agent.packed_history(asked.select(talk.alias("conversation"), turn.alias("turn"), "question", "notes", F.lit(None).cast("string").alias("answer")))
     return packed.select("conversation", "pos", "role", "name", F.length("content").alias("chars"))
 
 
@@ -126,11 +137,14 @@ QUERIES = {
 _CUR = """with chunks_ as (select * from chunks where chunk_uuid is not null qualify row_number() over (partition by chunk_uuid order by written_at desc) = 1),
 entities_ as (select * from entities where entity_uuid is not null qualify row_number() over (partition by entity_uuid order by written_at desc) = 1),
 told as (select * from chunks_ where trim(content) <> '')"""
-_MESSAGES = """with m as (select distinct novel_hash, vol_num, scene_index, ordinal, keyword, context_summary from mentions),
-p as (select *, row_number() over (partition by novel_hash, vol_num order by scene_index, ordinal, keyword nulls first, context_summary nulls first) - 1 as pos from m),
-g as (select novel_hash || ':' || vol_num as conversation, pos, case when pos = 0 then 'human' when pos % 2 = 1 then 'ai' else 'tool' end as role, keyword as name, context_summary as content from p),
-r as (select *, sum(ceil(length(coalesce(content, '')) / 2)::bigint) over w as used, sum((role = 'ai')::int) over w as iteration, coalesce(lead(role) over (partition by conversation order by pos) = 'tool', false) as calls
-  from g window w as (partition by conversation order by pos rows unbounded preceding)),
+_MESSAGES = CUR + ASKED + """, q as (select mention_id, novel_hash, vol_num, split_part(mention_id, ':', 3)::int as scene_index, keyword from asked),
+found as (select mention_id, string_agg(coalesce(description, ''), chr(10) order by entity_uuid) as found from q join (select entity_uuid, novel_hash, vol_num as e_vol, lower(trim(keyword)) as k, description from entities_ where not coalesce(tainted, false)) e
+  on q.novel_hash = e.novel_hash and lower(trim(q.keyword)) = e.k and e_vol <= q.vol_num group by all),
+t as (select q.mention_id, keyword, coalesce(found, '') as found, coalesce(content, '') as content from q left join found using (mention_id) left join chunks_ using (novel_hash, vol_num, scene_index)),
+g as (select mention_id as conversation, pos, (['human', 'ai', 'tool', 'ai', 'tool', 'ai'])[pos + 1] as role, case pos when 2 then 'find_entity_scenes' when 4 then 'get_scene_content' end as name,
+  case pos when 0 then keyword when 2 then found when 4 then content else '' end as content from t, (select unnest(range(6))::int as pos)),
+r as (select *, floor(sum(length(content) + case when role = 'tool' then length(name) + 3 + length(content) else 0 end) over w / 2)::bigint as used, sum((role = 'ai')::int) over w as iteration,
+  coalesce(lead(role) over (partition by conversation order by pos) = 'tool', false) as calls from g window w as (partition by conversation order by pos rows unbounded preceding)),
 d as (select *, case when role = 'ai' then case when least(1.0, used / 1024) >= 0.7 or iteration >= 50 then 'answer' when calls then 'tool' else 'answer' end end as route from r)"""
 _NOTE = "'[' || coalesce(name, '') || '] ' || coalesce(content, '')"
 _LINE = r"trim(regexp_replace(left(content, 50), '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')"
@@ -145,20 +159,20 @@ SQL = {
     "ingest_volumes": _CUR + r""" select novel_hash as folder, substr(md5(novel_hash), 1, 8) as novel_hash, vol_num, (sum(length(regexp_replace(content, '\r\n?', chr(10), 'g'))) + 4 * (count(*) - 1) + 1)::int as chars
 from chunks_ where content is not null group by chunks_.novel_hash, vol_num""",
     "keyvalue_roundtrip": _CUR + " select novel_hash, vol_num, count(*) as scenes, count(title) as titles from chunks_ group by all",
-    "pending_scenes": _CUR + " select novel_hash, vol_num, scene_index from told where scene_index % 2 <> 0",
+    "pending_scenes": _CUR + " select novel_hash, vol_num, scene_index from told anti join mentions using (novel_hash, vol_num, scene_index)",
     "volume_summaries": _CUR + _CAST + f""", s as (select novel_hash, vol_num, count(*) as scenes, md5({_OUTLINE}) as outline from told group by all)
 select s.novel_hash, s.vol_num, scenes, protagonist, case when who.novel_hash is not null then coalesce(c, '') end as main_characters, case when who.novel_hash is not null then coalesce(l, '') end as key_locations, outline from s left join who using (novel_hash, vol_num)""",
     "summary_compact": _CUR + f" select novel_hash, vol_num, {_OUTLINE} <> '' as compacted, left({_OUTLINE}, 300) as background from told group by all",
     "vol_summary_lookup": _CUR + " select novel_hash, vol_num, bool_or(coalesce(trim(content) <> '', false)) as found from chunks_ group by all",
     "token_gate": _MESSAGES + " select conversation, min(case when route = 'answer' and calls then pos end) as pos from d group by all",
     "route_decision": _MESSAGES + " select conversation, route, count(*) as plans, max(used)::bigint as used from d where route is not null group by all",
-    "trailing_tool_run": _MESSAGES + f", b as (select *, sum((role <> 'tool')::int) over (partition by conversation order by pos desc rows unbounded preceding) as o from g) select conversation, pos, {_NOTE} as note from b where o = 0",
+    "trailing_tool_run": _MESSAGES + f" select conversation, pos, md5({_NOTE}) as note from g where pos = 4",
     "notes_accumulate": _MESSAGES + f""", n as (select conversation, coalesce(sum((role = 'tool')::int) over w, 0)::bigint as notes, coalesce(sum(case when role = 'tool' then length({_NOTE}) else 0 end) over w, 0)::bigint as chars
   from g window w as (partition by conversation order by pos rows between unbounded preceding and 1 preceding)) select conversation, max(notes) as notes, max(chars) as chars from n group by all""",
-    "history_pack": """with m as (select distinct novel_hash, vol_num, scene_index, ordinal, keyword, context_summary from mentions),
-t as (select novel_hash, vol_num, scene_index, min(coalesce(keyword, '')) as question, sum(length(coalesce(context_summary, ''))) + 2 * (count(*) - 1) as chars from m group by all),
-u as (select novel_hash || ':' || vol_num as conversation, row_number() over (partition by novel_hash, vol_num order by scene_index) as turn, question, chars from t)
-select conversation, ((turn - 1) * 4 + k)::int as pos, (['human', 'ai', 'tool', 'ai'])[k + 1] as role, case when k in (1, 2) then 'retrieved_notes_turn_' || turn end as name,
+    "history_pack": _MESSAGES + f""", n as (select conversation, max(case when role = 'human' then content end) as question, sum(length({_NOTE})) filter (role = 'tool') + 2 as chars from g group by all),
+u as (select split_part(conversation, ':', 1) || ':' || split_part(conversation, ':', 2) as talk, question, chars,
+  row_number() over (partition by split_part(conversation, ':', 1), split_part(conversation, ':', 2) order by split_part(conversation, ':', 3)::int, split_part(conversation, ':', 4)::int, conversation) as turn from n)
+select talk as conversation, ((turn - 1) * 4 + k)::int as pos, (['human', 'ai', 'tool', 'ai'])[k + 1] as role, case when k in (1, 2) then 'retrieved_notes_turn_' || turn end as name,
   case k when 0 then length(question) when 2 then chars else 0 end::int as chars from u, (select unnest([0, 1, 2, 3]) as k)""",
     "stream_upsert": _CUR + " select novel_hash, vol_num, count(*) as scenes, sum(token_count)::bigint as tokens from chunks_ group by all",
     "stream_progress": "select novel_hash, vol_num, count(distinct scene_index)::int as scenes, max(scene_index) as last_scene from chunks group by all",

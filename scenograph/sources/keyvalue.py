@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def put(df: DataFrame, base: str, keys: list[str]) -> None:
     """Write records under their key columns; partitions that df holds are replaced, others stay."""
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*keys).json(base)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(base)
 
 
 def _there(spark: SparkSession, base: str) -> bool:
@@ -41,6 +35,12 @@ def list_keys(spark: SparkSession, base: str, schema: StructType, keys: list[str
     return get(spark, base, schema).select(*keys).distinct().orderBy(*keys)
 
 
+def history(rows: DataFrame, by: list[str], order: list[Column], value: str, most: int) -> DataFrame:
+    """(by, history): the last `most` values of each key in order, joined by line ends; Spark cuts each key's rows before the shuffle."""
+    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*[c.desc() for c in order]))).where(F.col("_n") <= most)
+    return last.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v")))), lambda x: F.coalesce(x.v, F.lit(""))), "\n").alias("history"))
+
+
 def append_log(df: DataFrame, base: str) -> None:
     """A step's log: records are only ever added."""
     df.write.mode("append").json(base)

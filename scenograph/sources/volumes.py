@@ -18,17 +18,17 @@ def list_volumes(spark: SparkSession, base: str, first: int = 0, last: int = 0)
 
 
 def read_volumes(spark: SparkSession, base: str, first: int = 0, last: int = 0) -> DataFrame:
-    """(novel_hash, folder, vol_num, text), line ends made one; the files outside the bounds are never opened.
+    """(novel_hash, folder, vol_num, text), line ends made one.
 
-    The tenant hash is of the folder's own name, so that it does not change with the machine.
+    Files lie as <folder>/<file>, or as folder=<folder>/vol=<file>/<part> as write_volumes() lays them out. The volume bounds are a filter on the files' own
+    metadata, so files outside them are not opened. The tenant hash is of the folder's own name, so that it does not change with the machine.
     """
-    text = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").withColumn("path", F.input_file_name())
-    # <folder>/<file>, or folder=<folder>/vol=<file>/<part> as write_volumes() lays them out
-    named = lambda key, plain: F.coalesce(F.nullif(F.regexp_extract("path", f"/{key}=([^/]+)/", 1), F.lit("")), F.regexp_extract("path", plain, 1))
-    folder = named("folder", r"([^/]+)/[^/]+$")
-    rows = text.withColumn("vol_num", number_in(named("vol", r"([^/]+)$"))).where(F.col("vol_num") >= first)
-    rows = rows.where(F.col("vol_num") <= last) if last > 0 else rows
-    return rows.select(tenant_hash(folder).alias("novel_hash"), folder.alias("folder"), "vol_num", line_ends("value").alias("text"))
+    text = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    path = F.col("_metadata.file_path")
+    named = lambda key, plain: F.coalesce(F.nullif(F.regexp_extract(path, f"/{key}=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, plain, 1))
+    folder, number = named("folder", r"([^/]+)/[^/]+$"), number_in(named("vol", r"([^/]+)$"))
+    inside = (number >= first) & (number <= last) if last > 0 else number >= first
+    return text.where(inside).select(tenant_hash(folder).alias("novel_hash"), folder.alias("folder"), number.alias("vol_num"), line_ends("value").alias("text"))
 
 
 def write_volumes(df: DataFrame, base: str) -> None:

@@ -51,7 +51,11 @@ def test_model_output(spark):
     flags = {'{"combine": false}': False, '{"combine": true}': True, "combine: TRUE maybe": True, "combine: no": False, "garbled": True, None: True}
     assert {t: one(spark, X.lenient_flag("t"), t=t) for t in flags} == flags
     assert one(spark, X.reasoning("t")[1], t="<think>a\nb</think> yes") == "yes"
-    assert one(spark, X.strip_template_tokens("t"), t="<start_of_turn>model\nhi<end_of_turn><|eot|>") == "hi"
+    assert one(spark, X.reasoning("t")[1], t="before <think>a</think>\u3000after") == "after" and one(spark, X.reasoning("t")[0], t="x<think> a </think>") == "a"
+    assert one(spark, X.reasoning("t")[1], t=" <think>open") == " <think>open"
+    for t in ("<tool_call>{}\n</tool_call>", "<|tool_call>x<tool_call|>", "<|tool_call|>x<|/tool_call|>"):
+        assert one(spark, X.strip_tool_calls("t"), t=f" a{t} b {t}") == "a b"
+    assert one(spark, X.rendered("${t}: $t costs $$1", t=F.col("t")), t="x") == "x: x costs $1"
     assert one(spark, X.front_matter("t"), t="---\na: b\n---\nbody") == "body"
 
 
