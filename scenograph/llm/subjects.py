@@ -33,6 +33,7 @@ class Fit:
     rounds: int = 2
     steps: int = 40
     ridge: float = 1e-5
+    folds: int = 4  # for calibration
     share: float = 0.25  # of a document's sentences
     play: float = 0.07  # how far calibration may move the threshold
 
@@ -148,12 +149,13 @@ def fit(texts: pa.Array, labels: np.ndarray, names: list[str], how: Fit = Fit())
     ok = col >= 0
     once = np.unique(where[ok] * np.int64(max(len(keep), 1)) + col[ok])
     row, col = once // max(len(keep), 1), once % max(len(keep), 1)
-    # thresholds come from documents that the weights they are judged by have not seen: each half of the documents is scored by the other
-    half = np.arange(len(labels)) % 2 == 1
+    # thresholds come from documents that the weights they are judged by have not seen: each part of the documents is scored by a fit on the others
+    fold = np.arange(len(labels)) % how.folds
     z = np.zeros((n, m))
-    for fold in (half, ~half):
-        weights, bias = _rounds(row, col, labels[doc], fold[doc], len(keep), how)
-        z[~fold[doc]] = _scores(row, col, n, weights, bias)[~fold[doc]]
+    for k in range(how.folds):
+        mine = fold[doc] == k
+        weights, bias = _rounds(row, col, labels[doc], ~mine, len(keep), how)
+        z[mine] = _scores(row, col, n, weights, bias)[mine]
     shares = calibrate(z, doc, labels, how)
     weights, bias = _rounds(row, col, labels[doc], np.ones(n, bool), len(keep), how)
     return Model(names, values[keep] if len(keep) else np.zeros(1, np.uint64), weights if len(keep) else np.zeros((1, m)), bias, shares)

@@ -65,6 +65,6 @@ def test_rows(spark):
 
 
 def test_katakana_among_ideographs():
-    forms, flags = normalize(pa.array(["渡ロ那邊", "サクラ ユキノ", "カ", "ロ", "人ロ", "渡ロロ", "碑文は力トカ"]))
+    forms, flags = textform.normalize(pa.array(["渡ロ那邊", "サクラ ユキノ", "カ", "ロ", "人ロ", "渡ロロ", "碑文は力トカ"]))
     assert forms.to_pylist() == ["渡口那邊", "サクラ ユキノ", "カ", "ロ", "人口", "渡ロロ", "碑文は力トカ"]
     assert list(flags) == [True, False, False, False, True, False, False]
