@@ -55,14 +55,15 @@ def trees_needed(threshold: float, branches: int, depth: int, recall: float) ->
 
 
 def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int = 2, small: int = 32, recall: float = 0.9999, typical_depth: int = 2, most_depth: int = 12) -> DataFrame:
-    """classes(id string, values array<string> of distinct values) -> distinct verified (id_a < id_b, similarity).
+    """classes(id, values array<string> of distinct values) -> distinct verified (id_a < id_b, similarity).
 
     Pairs of similarity equal to the threshold count. Sets that are empty pair with nothing. The recall holds at typical_depth, where the trees end: a pair
     that meets there in a large node is found by the exact join of the rest, whatever the depth. Nodes of that join still large at most_depth, or whose
     sets are used up, are compared all the same, by an equi-join on the node that adaptive skew handling may split; nothing is left out.
     """
     trees = trees_needed(threshold, branches, typical_depth, recall)
-    base = classes.select("id", F.transform("values", lambda v: F.xxhash64(v)).alias("tokens")).where("size(tokens) > 0")
+    # a class travels as a 64-bit hash of its id; where two share one, a pair of either is verified for both
+    base = classes.select(F.xxhash64("id").alias("id"), F.transform("values", lambda v: F.xxhash64(v)).alias("tokens")).where("size(tokens) > 0")
     level = base.select("id", "tokens", F.array().cast("array<bigint>").alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"))
     pairs = None
     for depth in range(1, min(typical_depth, most_depth) + 1):
@@ -71,7 +72,7 @@ def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int
         # a set whose tokens are used up stays in its node, among those that contain it
         steps = F.when(unused, ranked).otherwise(F.array(F.struct(F.col("node"), F.lit(None).cast("long").alias("t"))))
         taken = F.when(F.col("c.t").isNull(), F.col("path")).otherwise(F.concat("path", F.array("c.t")))
-        children = level.select("id", "tokens", "path", F.explode(steps).alias("c")).select("id", "tokens", taken.alias("path"), F.col("c.node").alias("node")).repartition("node")
+        children = level.select("id", "tokens", "path", F.explode(steps).alias("c")).select("id", "tokens", taken.alias("path"), F.col("c.node").alias("node"))
         counts = children.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         nodes = materialize(children.join(counts, "node"), f"nodes{depth}")
         done = _within(nodes.where(F.col("n") <= small), threshold)
@@ -84,11 +85,12 @@ def chosen_path_pairs(classes: DataFrame, threshold: float = 0.6, branches: int
         rest = materialize(level.select("id", "tokens").dropDuplicates(["id"]), "rest")
         pairs = reduce(DataFrame.unionByName, _prefix_pairs(rest, threshold, small, most_depth), pairs)
     found = materialize(pairs.distinct(), "pairs")
-    a = classes.select(F.col("id").alias("id_a"), F.col("values").alias("a"))
-    b = classes.select(F.col("id").alias("id_b"), F.col("values").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    exact = found.join(a, "id_a").join(b, "id_b").withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
-    return exact.where(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
+    keyed = classes.withColumn("k", F.xxhash64("id"))
+    a = keyed.select(F.col("k").alias("id_a"), F.struct("id", "values").alias("a"))
+    b = keyed.select(F.col("k").alias("id_b"), F.struct("id", "values").alias("b"))
+    shared = F.size(F.array_intersect("a.values", "b.values"))
+    exact = found.join(a, "id_a").join(b, "id_b").withColumn("similarity", shared / (F.size("a.values") + F.size("b.values") - shared))
+    return exact.where(F.col("similarity") >= threshold - 1e-12).select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), "similarity")
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float, small: int, most_depth: int) -> list[DataFrame]:
