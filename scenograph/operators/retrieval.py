@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scenograph.functions.predicates import not_tainted
 from scenograph.functions.text import identity_text, tokens
 from scenograph.functions.vectors import certainty, sparse_vectors
+from scenograph.operators.scoring import prepared, scored
 
 STRONG, KEEP, CONTENT_LEAST, CONTENT_STRONG = 0.75, 0.62, 0.10, 0.35
 K1, B = 1.2, 0.75
@@ -104,18 +105,6 @@ def sparse_near(queries: DataFrame, docs: DataFrame, scope: list[str], doc_keys:
     return _to_each(q).join(_dealt(d, doc_keys), scope + ["bucket", "_salt"]).groupBy(*scope, *query_keys, *doc_keys).agg(F.sum(F.col("wq") * F.col("wd")).alias("cosine"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], query_keys: list[str], alpha: float = 0.5) -> DataFrame:
-    """(keys, hybrid): both scores brought to 0..1 within each query (a constant list is 1), then alpha * vector + (1 - alpha) * keyword; missing is 0."""
-    w = Window.partitionBy(*query_keys)
-
-    def scaled(df: DataFrame, c: str) -> DataFrame:
-        low, high = F.min(c).over(w), F.max(c).over(w)
-        return df.withColumn(c, F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(1.0))
-
-    both = scaled(vector, "cosine").select(*keys, "cosine").join(scaled(keyword, "bm25").select(*keys, "bm25"), keys, "full")
-    return both.select(*keys, (alpha * F.coalesce("cosine", F.lit(0.0)) + (1 - alpha) * F.coalesce("bm25", F.lit(0.0))).alias("hybrid"))
-
-
 def ranked_fuse(vector: DataFrame, keyword: DataFrame, keys: list[str], query_keys: list[str], constant: int = 60) -> DataFrame:
     """(keys, hybrid) by reciprocal ranks, the other kind of fusion."""
 
@@ -142,44 +131,36 @@ def gate(overlap: Column, id_sim: Column, content_sim: Column) -> tuple[Column,
 def similar_entities(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     """Candidates of each mention among the entities of its novel up to its volume, not tainted: (mention_id, entity_uuid, id_sim, content_sim, rule, score).
 
-    mentions(mention_id, novel_hash, vol_num, keyword, mention_type, context_summary); entities are current rows. Track A: identity vectors, same type
-    where the novel has any such candidate, else any type. Track B: hybrid of content vectors and BM25 on keyword and the first 400 characters of the
-    context, same type only. Tracks are united by uuid, a missing side is 0, and the gate decides. Mentions without keyword find nothing.
+    mentions(mention_id, novel_hash, vol_num, keyword, mention_type, context_summary); entities are current rows with `searched`, their description and
+    events, and `words`, all text that BM25 scores. Track A: identity vectors, same type where the novel has any such candidate, else any type. Track B:
+    hybrid of content vectors and BM25 on keyword and the first 400 characters of the context, same type only. Tracks are united by uuid, a missing side
+    is 0, and the gate decides. Mentions without keyword find nothing.
     """
-    m = mentions.where("trim(coalesce(keyword, '')) <> ''").select("mention_id", "novel_hash", F.col("vol_num").alias("m_vol"), F.col("keyword").alias("m_keyword"), F.lower(F.trim("mention_type")).alias("m_type"), F.concat_ws(" ", "keyword", F.substring("context_summary", 1, 400)).alias("m_text"))
-    e = entities.where(not_tainted()).select("entity_uuid", "novel_hash", F.col("vol_num").alias("e_vol"), F.lower(F.trim("entity_type")).alias("e_type"), F.col("keyword").alias("e_keyword"), identity_text("keyword", "aliases").alias("e_identity"), "description")
-    about, of = m.select("mention_id", "m_vol", "m_type", "m_keyword"), e.select("entity_uuid", "e_vol", "e_type", "e_keyword")
-
-    def allowed(df: DataFrame) -> DataFrame:
-        return df.join(about, "mention_id").join(of, "entity_uuid").where("e_vol <= m_vol")
-
-    near = allowed(sparse_near(m, e, ["novel_hash"], ["entity_uuid"], ["mention_id"], "m_keyword", "e_identity"))
-    same = F.coalesce(F.col("m_type") == F.col("e_type"), F.lit(False))
-    relaxed = near.withColumn("_any", F.max(same).over(Window.partitionBy("mention_id"))).where(same | ~F.col("_any"))
-    track_a = top_k(relaxed.select("mention_id", "entity_uuid", certainty("cosine").alias("id_sim")), ["mention_id"], [F.round("id_sim", 9).desc(), F.col("entity_uuid")], k)
-
-    strict = lambda df: allowed(df).where(same)
-    vector = strict(sparse_near(m, e, ["novel_hash"], ["entity_uuid"], ["mention_id"], "m_text", "description")).select("mention_id", "entity_uuid", "cosine")
-    words = strict(bm25(m, e, ["novel_hash"], ["entity_uuid"], ["mention_id"], "m_text", "description")).select("mention_id", "entity_uuid", "bm25")
-    hybrid = fuse(vector, words, ["mention_id", "entity_uuid"], ["mention_id"])
-    track_b = top_k(hybrid.withColumnRenamed("hybrid", "content_sim"), ["mention_id"], [F.round("content_sim", 9).desc(), F.col("entity_uuid")], k)
-
-    united = track_a.join(track_b, ["mention_id", "entity_uuid"], "full").na.fill(0.0, ["id_sim", "content_sim"])
-    named = united.join(about.select("mention_id", "m_keyword"), "mention_id").join(of.select("entity_uuid", "e_keyword"), "entity_uuid")
+    m = mentions.where("trim(coalesce(keyword, '')) <> ''").withColumn("_text", F.concat_ws(" ", "keyword", F.substring("context_summary", 1, 400)))
+    e = entities.where(not_tainted())
+    asked = prepared(m, "mention_id", "novel_hash", F.col("_text"), F.col("_text"), F.col("keyword"), F.col("vol_num"), F.lower(F.trim("mention_type")))
+    docs = prepared(e, "entity_uuid", "novel_hash", F.col("searched"), F.col("words"), identity_text("keyword", "aliases"), F.col("vol_num"), F.lower(F.trim("entity_type")))
+    track_a, track_b = scored(docs, asked, k)
+    united = track_a.withColumnRenamed("score", "id_sim").join(track_b.withColumnRenamed("score", "content_sim"), ["qid", "key"], "full").na.fill(0.0, ["id_sim", "content_sim"])
+    united = united.select(F.col("qid").alias("mention_id"), F.col("key").alias("entity_uuid"), "id_sim", "content_sim")
+    named = united.join(m.select("mention_id", F.col("keyword").alias("m_keyword")), "mention_id").join(e.select("entity_uuid", F.col("keyword").alias("e_keyword")), "entity_uuid")
     rule, score = gate(literal_overlap("m_keyword", "e_keyword"), F.col("id_sim"), F.col("content_sim"))
     judged = named.select("mention_id", "entity_uuid", "id_sim", "content_sim", rule.alias("rule"), score.alias("score")).where("rule is not null")
     return top_k(judged, ["mention_id"], [F.round("score", 9).desc(), F.col("entity_uuid")], k)
 
 
-def search(queries: DataFrame, docs: DataFrame, key: str, text: str, limit: int = 5, scope: list[str] | None = None, fusion: str = "relative") -> DataFrame:
-    """queries(query_id, query_text [, scope]) -> (query_id, key, hybrid): the best `limit` documents by hybrid score, ties by key."""
-    scope = scope or []
-    one = scope or ["_all"]
-    q, d = (queries, docs) if scope else (queries.withColumn("_all", F.lit(1)), docs.withColumn("_all", F.lit(1)))
-    vector = sparse_near(q, d, one, [key], ["query_id"], "query_text", text)
-    words = bm25(q, d, one, [key], ["query_id"], "query_text", text)
-    fused = (fuse if fusion == "relative" else ranked_fuse)(vector, words, ["query_id", key], ["query_id"])
-    return top_k(fused, ["query_id"], [F.round("hybrid", 9).desc(), F.col(key)], limit)
+def search(queries: DataFrame, docs: DataFrame, key: str, text: str, words: str, limit: int = 5, scope: str = "novel_hash") -> DataFrame:
+    """queries(query_id, query_text, scope) -> (query_id, key, hybrid): the best `limit` documents of the scope by hybrid score of vectors of `text` and BM25 of `words`, ties by key."""
+    asked = prepared(queries, "query_id", scope, F.col("query_text"), F.col("query_text"))
+    _, best = scored(prepared(docs, key, scope, F.col(text), F.col(words)), asked, limit)
+    return best.select(F.col("qid").alias("query_id"), F.col("key").alias(key), F.col("score").alias("hybrid"))
+
+
+def ranked_search(queries: DataFrame, docs: DataFrame, key: str, text: str, words: str, limit: int = 5, scope: str = "novel_hash") -> DataFrame:
+    """The same by reciprocal ranks in both lists; ranks need whole lists, so all pairs that share something are sorted."""
+    vector = sparse_near(queries, docs, [scope], [key], ["query_id"], "query_text", text)
+    keyword = bm25(queries, docs, [scope], [key], ["query_id"], "query_text", words)
+    return top_k(ranked_fuse(vector, keyword, ["query_id", key], ["query_id"]), ["query_id"], [F.round("hybrid", 9).desc(), F.col(key)], limit)
 
 
 def clamp(limit: int, most: int = 15) -> int:

@@ -53,8 +53,14 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("mention_id", "entity_uuid", F.round("bm25", 6).alias("bm25"))
 
 
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with what is searched of them: description and events for vectors, all their text for BM25."""
+    e = entities(spark, d, "novel_hash", "vol_num", "entity_type", "keyword", "aliases", "description", "content", "appeared_in", "tainted").withColumn("j", F.from_json("content", CHANGES))
+    return e.withColumns({"searched": X.content_text("description", "j.major_status_changes"), "words": F.concat_ws("\n", "description", "content")}).drop("j", "content")
+
+
 def dual_track_gate(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.similar_entities(questions(spark, d), entities(spark, d, "novel_hash", "vol_num", "entity_type", "keyword", "aliases", "description", "tainted"))
+    out = retrieval.similar_entities(questions(spark, d), searched(spark, d))
     return out.select("mention_id", "entity_uuid", F.round("id_sim", 6).alias("id_sim"), F.round("content_sim", 6).alias("content_sim"), "rule", F.round("score", 6).alias("score"))
 
 
@@ -70,23 +76,24 @@ def literal_overlap(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("novel_hash", "vol_num").agg(F.count("*").alias("pairs"), F.sum(F.col("shared").cast("int")).alias("overlapping"))
 
 
-def _search_entities(spark: SparkSession, d: str, fusion: str) -> DataFrame:
+def _search_entities(spark: SparkSession, d: str, how) -> DataFrame:
     q = questions(spark, d).where("trim(keyword) <> ''").select(F.col("mention_id").alias("query_id"), "novel_hash", F.col("keyword").alias("query_text"))
-    docs = entities(spark, d, "novel_hash", "description", "tainted").where(P.not_tainted())
-    return retrieval.search(q, docs, "entity_uuid", "description", 5, ["novel_hash"], fusion).select("query_id", "entity_uuid", F.round("hybrid", 6).alias("hybrid"))
+    return how(q, searched(spark, d).where(P.not_tainted()), "entity_uuid", "searched", "words").select("query_id", "entity_uuid", F.round("hybrid", 6).alias("hybrid"))
 
 
 def universal_search_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return _search_entities(spark, d, "relative")
+    return _search_entities(spark, d, retrieval.search)
 
 
 def universal_search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return _search_entities(spark, d, "ranked")
+    return _search_entities(spark, d, retrieval.ranked_search)
 
 
 def search_scenes_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes by the vector of their title and BM25 over title and whole content."""
     q = questions(spark, d).where("trim(keyword) <> ''").select(F.col("mention_id").alias("query_id"), "novel_hash", F.col("keyword").alias("query_text"))
-    return retrieval.search(q, chunks(spark, d, "novel_hash", "title"), "chunk_uuid", "title", 5, ["novel_hash"]).select("query_id", "chunk_uuid", F.round("hybrid", 6).alias("hybrid"))
+    c = chunks(spark, d, "novel_hash", "title", "content").withColumn("words", F.concat_ws("\n", "title", "content"))
+    return retrieval.search(q, c, "chunk_uuid", "title", "words").select("query_id", "chunk_uuid", F.round("hybrid", 6).alias("hybrid"))
 
 
 def universal_search_list(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +351,7 @@ def extract_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_decisions(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.similar_entities(questions(spark, d), entities(spark, d, "novel_hash", "vol_num", "entity_type", "keyword", "aliases", "description", "tainted"))
+    out = retrieval.similar_entities(questions(spark, d), searched(spark, d))
     return extraction.decide(out)
 
 

@@ -48,28 +48,31 @@ def _scaled(c: str) -> str:
     return f"case when max({c}) {w} > min({c}) {w} then ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) else 1.0 end"
 
 
-def _search(docs: str, key: str, text: str, ranked: bool = False) -> str:
+def _search(docs: str, key: str, text: str, words: str, ranked: bool = False) -> str:
     rank = lambda c: f"1 / (60 + row_number() over (partition by mention_id order by round({c}, 9) desc, {key}))"
     value = rank if ranked else _scaled
     share = ("coalesce(v.s, 0) + coalesce(k.s, 0)") if ranked else "0.5 * coalesce(v.s, 0) + 0.5 * coalesce(k.s, 0)"
     return (
         CUR + ASKED + ", q as (select * from asked where trim(keyword) <> '')" + f", docs as ({docs})" + _vectors("qv", "q", "mention_id", "keyword") + _vectors("dv", "docs", key, text)
-        + _near("near_", "qv", "dv", key) + _bm25("bm", "q", "docs", key, "keyword", text)
+        + _near("near_", "qv", "dv", key) + _bm25("bm", "q", "docs", key, "keyword", words)
         + f""", v as (select mention_id, {key}, {value('cosine')} as s from near_), k as (select mention_id, {key}, {value('bm25')} as s from bm),
 f as (select coalesce(v.mention_id, k.mention_id) as query_id, coalesce(v.{key}, k.{key}) as {key}, {share} as hybrid from v full join k on v.mention_id = k.mention_id and v.{key} = k.{key})
 select query_id, {key}, round(hybrid, 6) as hybrid from f qualify row_number() over (partition by query_id order by round(hybrid, 9) desc, {key}) <= 5"""
     )
 
 
+_CHANGES = lambda c: f"coalesce(json_extract({c}, '$.major_status_changes')::struct(scene_index int, event varchar)[], [])"
+SEARCHED = f"concat(coalesce(description, ''), case when len({_CHANGES('content')}) > 0 then chr(10) || array_to_string(list_transform({_CHANGES('content')}, lambda c: '- ' || c.event), chr(10)) else '' end)"
+FOUND = f"select entity_uuid, novel_hash, {SEARCHED} as searched, concat_ws(chr(10), description, content) as words from entities_ where not coalesce(tainted, false)"
 _IDENTITY = "concat(coalesce(keyword, ''), case when len(list_filter(coalesce(aliases, []), lambda a: a is not null)) > 0 then ' | ' || array_to_string(list_filter(aliases, lambda a: a is not null), ', ') else '' end)"
 _LETTERS = lambda c: f"list_filter(string_split(lower(coalesce({c}, '')), ''), lambda x: trim(x) <> '')"
 _GATE = (
     CUR + ASKED
     + f""", m as (select mention_id, novel_hash, vol_num as m_vol, keyword as m_keyword, lower(trim(mention_type)) as m_type, keyword || ' ' || left(context_summary, 400) as m_text from asked where trim(keyword) <> ''),
-e as (select entity_uuid, novel_hash, vol_num as e_vol, lower(trim(entity_type)) as e_type, keyword as e_keyword, {_IDENTITY} as e_identity, description from entities_ where not coalesce(tainted, false))"""
+e as (select entity_uuid, novel_hash, vol_num as e_vol, lower(trim(entity_type)) as e_type, keyword as e_keyword, {_IDENTITY} as e_identity, {SEARCHED} as searched, concat_ws(chr(10), description, content) as words from entities_ where not coalesce(tainted, false))"""
     + _vectors("mi", "m", "mention_id", "m_keyword") + _vectors("ei", "e", "entity_uuid", "e_identity") + _near("near_i", "mi", "ei", "entity_uuid")
-    + _vectors("mc", "m", "mention_id", "m_text") + _vectors("ec", "e", "entity_uuid", "description") + _near("near_c", "mc", "ec", "entity_uuid")
-    + _bm25("bm", "m", "e", "entity_uuid", "m_text", "description")
+    + _vectors("mc", "m", "mention_id", "m_text") + _vectors("ec", "e", "entity_uuid", "searched") + _near("near_c", "mc", "ec", "entity_uuid")
+    + _bm25("bm", "m", "e", "entity_uuid", "m_text", "words")
     + f""", a0 as (select n.mention_id, n.entity_uuid, cosine, coalesce(m_type = e_type, false) as same from near_i n join m using (mention_id) join e using (entity_uuid) where e_vol <= m_vol),
 a1 as (select * from a0 qualify same or not max(same::int) over (partition by mention_id)::boolean),
 ta as (select mention_id, entity_uuid, greatest(0, 1 - (1 - cosine) / 2) as id_sim from a1 qualify row_number() over (partition by mention_id order by round(greatest(0, 1 - (1 - cosine) / 2), 9) desc, entity_uuid) <= 5),
@@ -93,7 +96,6 @@ _VERSIONS = """with v as (select *, row_number() over w as version, lag(keyword)
   from (select distinct on (entity_uuid, written_at) * from entities) window w as (partition by entity_uuid order by written_at)), n as (select * from v where version > 1)"""
 _VALUE = lambda c: f"upper(trim(coalesce({c}, '')))"
 _SHOWN = "len(list_filter(coalesce(appeared_in, []), lambda x: x is not null))"
-_CHANGES = lambda c: f"coalesce(json_extract({c}, '$.major_status_changes')::struct(scene_index int, event varchar)[], [])"
 _TRUNCATED = "case when ceil(length({x}) / 2) <= 100 then {x} else substr({x}, 1, floor(length({x}) * 0.85)::int) end"
 
 
@@ -132,9 +134,9 @@ select query_id, row_id, round(greatest(0, 1 - (1 - c) / 2), 6) as certainty fro
     "literal_overlap": CUR + f""", m as (select distinct {PLACE} as mention_id, novel_hash, vol_num, scene_index, keyword as mk from mentions),
 e as (select novel_hash, vol_num, entity_uuid, keyword, unnest(list_distinct(appeared_in)) as scene_index from entities_)
 select novel_hash, vol_num, count(*) as pairs, sum(coalesce(len(list_intersect({_LETTERS('mk')}, {_LETTERS('keyword')})) > 0, false)::int)::bigint as overlapping from m join e using (novel_hash, vol_num, scene_index) group by all""",
-    "universal_search_semantic": _search("select entity_uuid, novel_hash, description from entities_ where not coalesce(tainted, false)", "entity_uuid", "description"),
-    "universal_search_ranked": _search("select entity_uuid, novel_hash, description from entities_ where not coalesce(tainted, false)", "entity_uuid", "description", True),
-    "search_scenes_semantic": _search("select chunk_uuid, novel_hash, title from chunks_", "chunk_uuid", "title"),
+    "universal_search_semantic": _search(FOUND, "entity_uuid", "searched", "words"),
+    "universal_search_ranked": _search(FOUND, "entity_uuid", "searched", "words", True),
+    "search_scenes_semantic": _search("select chunk_uuid, novel_hash, title, concat_ws(chr(10), title, content) as words from chunks_", "chunk_uuid", "title", "words"),
     "universal_search_list": CUR + f" select novel_hash, entity_uuid, keyword, {_SHOWN} as appearances from entities_ where not coalesce(tainted, false) qualify row_number() over (partition by novel_hash order by {_SHOWN} desc, entity_uuid) <= 15",
     "search_scenes_list": CUR + " select novel_hash, vol_num, scene_index, title, left(content, 400) as excerpt from chunks_ qualify row_number() over (partition by novel_hash order by vol_num, scene_index, chunk_uuid) <= 5",
     "category_contains_any": CUR + " select novel_hash, count(*) as entities from entities_ where list_has_any(categories, ['guild', '公會', 'noble']) group by all",

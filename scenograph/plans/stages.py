@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scenograph.functions import predicates as P
 from scenograph.functions import text as X
 from scenograph.operators import agent, catalog, extraction, links, merge, references, retrieval, scenes, summary
-from scenograph.plans.knowledge import CHANGES, chunks, entities, questions
-from scenograph.plans.knowledge_sql import ASKED, BLANK, CUR, _bm25, _fold_by, _list, _near, _scaled, _seams, _SHOWN, _VERSIONS, _vectors
+from scenograph.plans.knowledge import chunks, entities, questions, searched
+from scenograph.plans.knowledge_sql import ASKED, CUR, SEARCHED, _bm25, _fold_by, _list, _near, _scaled, _seams, _SHOWN, _VERSIONS, _vectors
 from scenograph.session import scratch_path
 from scenograph.sources import keyvalue
 from scenograph.tables import read
@@ -160,9 +160,9 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select(F.col("mention_id").alias("query_id"), "novel_hash", "vol_num", F.trim("keyword").alias("query_text"))
 
 
-def _dispatched(asked: DataFrame, docs: DataFrame, key: str, text: str, listed: DataFrame, limit: int) -> DataFrame:
+def _dispatched(asked: DataFrame, docs: DataFrame, key: str, text: str, words: str, listed: DataFrame, limit: int) -> DataFrame:
     """(query_id, place, key): the search's best for questions with text, else the list's first of the novel."""
-    found = retrieval.search(asked.where("query_text <> ''"), docs, key, text, limit, ["novel_hash"])
+    found = retrieval.search(asked.where("query_text <> ''"), docs, key, text, words, limit)
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("hybrid", 9).desc(), key)))
     return found.select("query_id", "place", key).unionByName(asked.where("query_text = ''").join(listed, "novel_hash").select("query_id", "place", key))
 
@@ -175,9 +175,9 @@ def _envelope(asked: DataFrame, items: DataFrame, item: str) -> DataFrame:
 
 def find_entity_scenes_tool(spark: SparkSession, d: str) -> DataFrame:
     """Entities for each question, with how often and in which of their first eight scenes they appear."""
-    e = entities(spark, d, "novel_hash", "vol_num", "keyword", "description", "appeared_in", "tainted").where(P.not_tainted()).withColumn("seen", catalog.appearances())
+    e = searched(spark, d).where(P.not_tainted()).withColumn("seen", catalog.appearances())
     listed = retrieval.top_k(e, ["novel_hash"], [F.col("seen").desc(), F.col("entity_uuid")], 5).withColumn("place", F.row_number().over(Window.partitionBy("novel_hash").orderBy(F.col("seen").desc(), "entity_uuid")))
-    hits = _dispatched(asked := _asked(spark, d), e, "entity_uuid", "description", listed.select("novel_hash", "place", "entity_uuid"), 5)
+    hits = _dispatched(asked := _asked(spark, d), e, "entity_uuid", "searched", "words", listed.select("novel_hash", "place", "entity_uuid"), 5)
     scenes_ = links.previews(e, chunks(spark, d, "novel_hash", "vol_num", "scene_index", "title")).groupBy("entity_uuid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "scene_index"))), lambda x: x.scene_index.cast("string")), ",").alias("scenes"))
     shown = hits.join(e.select("entity_uuid", "keyword", "seen"), "entity_uuid").join(scenes_, "entity_uuid", "left")
     return _envelope(asked, shown.withColumn("item", F.concat(F.coalesce("keyword", F.lit("")), F.lit(" x"), F.col("seen").cast("string"), F.lit(": "), F.coalesce("scenes", F.lit("")))), "item")
@@ -185,10 +185,10 @@ def find_entity_scenes_tool(spark: SparkSession, d: str) -> DataFrame:
 
 def search_scenes_tool(spark: SparkSession, d: str) -> DataFrame:
     """Scenes for each question by title and content, with title and the length of an excerpt of 400 characters."""
-    c = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "title", "content").withColumn("text", F.concat_ws("\n", "title", F.left("content", F.lit(4000))))
+    c = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "title", "content").withColumn("words", F.concat_ws("\n", "title", "content"))
     order = [F.col("vol_num"), F.col("scene_index"), F.col("chunk_uuid")]
     listed = retrieval.top_k(c, ["novel_hash"], order, 5).withColumn("place", F.row_number().over(Window.partitionBy("novel_hash").orderBy(*order)))
-    hits = _dispatched(asked := _asked(spark, d), c, "chunk_uuid", "text", listed.select("novel_hash", "place", "chunk_uuid"), 5)
+    hits = _dispatched(asked := _asked(spark, d), c, "chunk_uuid", "title", "words", listed.select("novel_hash", "place", "chunk_uuid"), 5)
     shown = hits.join(c.select("chunk_uuid", "title", F.length(F.left(F.coalesce("content", F.lit("")), F.lit(400))).alias("n")), "chunk_uuid")
     return _envelope(asked, shown.withColumn("item", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("n").cast("string"))), "item")
 
@@ -252,9 +252,9 @@ _LINE_ = r"trim(regexp_replace(left(content, 50), '[ \t\n\r\f\x0b]+', ' ', 'g'),
 _TOOL = ", asked_ as (select mention_id, novel_hash, vol_num, trim(keyword) as keyword from asked), q as (select * from asked_ where keyword <> '')"
 
 
-def _dispatch(docs: str, key: str, text: str, listed: str) -> str:
+def _dispatch(docs: str, key: str, text: str, words: str, listed: str) -> str:
     return (
-        CUR + ASKED + _TOOL + f", docs as ({docs})" + _vectors("qv", "q", "mention_id", "keyword") + _vectors("dv", "docs", key, text) + _near("near_", "qv", "dv", key) + _bm25("bm", "q", "docs", key, "keyword", text)
+        CUR + ASKED + _TOOL + f", docs as ({docs})" + _vectors("qv", "q", "mention_id", "keyword") + _vectors("dv", "docs", key, text) + _near("near_", "qv", "dv", key) + _bm25("bm", "q", "docs", key, "keyword", words)
         + f""", v as (select mention_id, {key}, {_scaled('cosine')} as s from near_), k as (select mention_id, {key}, {_scaled('bm25')} as s from bm),
 f as (select coalesce(v.mention_id, k.mention_id) as mention_id, coalesce(v.{key}, k.{key}) as {key}, 0.5 * coalesce(v.s, 0) + 0.5 * coalesce(k.s, 0) as hybrid from v full join k on v.mention_id = k.mention_id and v.{key} = k.{key}),
 hits as (select mention_id, {key}, row_number() over (partition by mention_id order by round(hybrid, 9) desc, {key}) as place from f qualify place <= 5
@@ -298,11 +298,11 @@ early as (select chunk_uuid from chunks, mid where chunk_uuid is not null group
 o as (select novel_hash, vol_num, scene_index, (chunk_uuid in (select chunk_uuid from early)) as first_, {_LINE_} as line from told),
 a as (select novel_hash, vol_num, count(*) as n, count(*) filter (first_) as ne, string_agg(nullif(line, ''), ' → ' order by scene_index) filter (first_) as early_, string_agg(nullif(line, ''), ' → ' order by scene_index) filter (not first_) as late_ from o group by all)
 select novel_hash, vol_num, n::int as scenes, true as compacted, md5(left(case when n = ne then coalesce(early_, '') else concat_ws(' → ', early_, late_) end, 300)) as outline from a""",
-    "find_entity_scenes_tool": _dispatch(f"select *, {_SHOWN} as seen from entities_ where not coalesce(tainted, false)", "entity_uuid", "description", "seen desc, entity_uuid") + """,
+    "find_entity_scenes_tool": _dispatch(f"select *, {_SHOWN} as seen, {SEARCHED} as searched, concat_ws(chr(10), description, content) as words from entities_ where not coalesce(tainted, false)", "entity_uuid", "searched", "words", "seen desc, entity_uuid") + """,
 sc as (select entity_uuid, string_agg(scene_index, ',' order by pos) as scenes from (select entity_uuid, novel_hash, vol_num, unnest(range(len(appeared_in[1:8]))) as pos, unnest(appeared_in[1:8]) as scene_index from docs) join chunks_ using (novel_hash, vol_num, scene_index) group by all),
 i as (select mention_id, count(*) as hits, string_agg(concat(keyword, ' x', seen, ': ', scenes), '; ' order by place) as items from hits join (select entity_uuid, keyword, seen from docs) using (entity_uuid) left join sc using (entity_uuid) group by all)
 select mention_id as query_id, coalesce(hits, 0) as hits, coalesce(items, '') as items from asked_ left join i using (mention_id)""",
-    "search_scenes_tool": _dispatch("select *, concat_ws(chr(10), title, left(content, 4000)) as text from chunks_", "chunk_uuid", "text", "vol_num, scene_index, chunk_uuid") + """,
+    "search_scenes_tool": _dispatch("select *, concat_ws(chr(10), title, content) as words from chunks_", "chunk_uuid", "title", "words", "vol_num, scene_index, chunk_uuid") + """,
 i as (select mention_id, count(*) as hits, string_agg(concat(title, ' ', length(left(coalesce(content, ''), 400))), '; ' order by place) as items from hits join (select chunk_uuid, title, content from docs) using (chunk_uuid) group by all)
 select mention_id as query_id, coalesce(hits, 0) as hits, coalesce(items, '') as items from asked_ left join i using (mention_id)""",
     "get_scene_content_tool": CUR + """, a as (select distinct novel_hash, vol_num, scene_index + k as scene_index from mentions, (select unnest([0, 1]) as k) where scene_index % 20 = 0)

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from scenograph.operators import agent, catalog, links, merge, retrieval, scenes, summary
+from scenograph.operators import agent, catalog, links, merge, retrieval, scenes, scoring, summary
 from scenograph.sources import keyvalue, volumes
 from scenograph.tables import current_rows
 
@@ -182,3 +182,29 @@ def test_taint_of_merges_under_another_name(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/entities.parquet")
     got = {(r.entity_uuid, r.version): r.reason for r in QUERIES["taint_versions"](spark, str(tmp_path)).collect()}
     assert got == {("a", 2): "cosine 0.00", ("f", 1): "description 801"}
+
+
+def test_cells_of_any_size_score_alike(spark, monkeypatch):
+    words = ["bell", "song", "winter", "lantern", "quiet", "mist", "rain", "door"]
+    text = lambda i: " ".join(words[(i * k) % 8] for k in range(1, 2 + i % 5))
+    docs = spark.createDataFrame([(f"d{i:02}", "n" if i % 4 else "m", i % 3, "a" if i % 2 else None, text(i), f"name {words[i % 8]}") for i in range(40)] + [("e", "n", None, "a", None, None), ("x", None, 1, "a", "bell", "bell")], "key string, scope string, vol int, type string, text string, name string")
+    asked = spark.createDataFrame([(f"q{i}", "n" if i % 2 else "m", i % 3, "a", text(i + 3), f"{words[i]} name") for i in range(8)] + [("z", "none", 1, "a", "bell", "bell"), ("y", "n", 1, None, "", None)], "key string, scope string, vol int, type string, text string, name string")
+    ready = lambda df: scoring.prepared(df, "key", "scope", F.col("text"), F.col("text"), F.col("name"), F.col("vol"), F.col("type"))
+    got = []
+    for parts, block in ((4096, 1024), (7, 2)):
+        monkeypatch.setattr(scoring, "DOCUMENTS", parts)
+        monkeypatch.setattr(scoring, "QUESTIONS", block)
+        got.append([sorted((r.qid, r.key, round(r.score, 9)) for r in df.collect()) for df in scoring.scored(ready(docs), ready(asked), 3)])
+    assert got[0] == got[1] and len(got[0][0]) > 15 and len(got[0][1]) > 5
+    assert not {q for q, _, _ in got[0][0] + got[0][1]} & {"z", "y"}
+    assert [df.count() for df in scoring.scored(ready(docs.where("false")), ready(asked), 3)] == [0, 0]
+
+
+def test_resumed_state(spark):
+    s = spark.createDataFrame([("n", 1, 1, "one"), ("n", 1, 2, "two"), ("n", 2, 1, None), ("m", 1, 1, "x")], "novel_hash string, vol_num int, scene_index int, content string")
+    empty = spark.createDataFrame([], "novel_hash string, vol_num int, updated_scenes array<int>, outline string, compacted boolean")
+    show = lambda df: {(r.novel_hash, r.vol_num): (r.updated_scenes, r.outline, r.compacted) for r in df.collect()}
+    first = summary.compacted(summary.resume(empty, s.where("scene_index = 2")), s)
+    assert show(first) == {("n", 1): ([2], "two", False)}
+    assert show(summary.compacted(summary.resume(first, s), s)) == {("n", 1): ([1, 2], "two → one", True), ("m", 1): ([1], "x", True)}
+    assert show(summary.compacted(summary.resume(first, s), s, most=4))[("n", 1)] == ([1, 2], "two ", True)
