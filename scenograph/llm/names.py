@@ -28,15 +28,17 @@ EPITHET = re.compile(r"\b(of|de|du|des|the|le|la)\b|\b[ld]'", re.I)
 GENERIC = {"teacher", "l'ancien", "maitre", "l'etranger", "隊長", "師父", "前輩", "那個人", "老師", "師兄", "師姐", "掌門", "陌生人"}
 ZH_TITLES = ("師姐", "師兄", "師妹", "師弟", "長老", "將軍", "先生", "殿下", "大人", "夫人", "小姐", "公子", "姑娘", "老師", "隊長")
 ZH_PREFIX = "老小阿"
-CLASSES = "order guild company trading academy ordre guilde compagnie academie church league society brotherhood".split()
+FRENCH = "ordre guilde compagnie academie".split()
+CLASSES = "order guild company trading academy church league society brotherhood".split() + FRENCH
 ZH_CLASSES = {"商會": "商會", "商行": "商會", "騎士團": "騎士團", "騎團": "騎士團", "教團": "教團", "教會": "教團", "學院": "學院", "書院": "學院"}
 SMALL_WORDS = {"of", "the", "du", "de", "des", "la", "le", "l", "d", "and", "et"}
+SMALL_FRENCH = {"du", "de", "des", "la", "le", "l", "d"}
 SWAPPED = {"".join(sorted(w)) for w in SMALL_WORDS}  # small words with their letters swapped
 PLACEHOLDER = re.compile(r"(none|null|nil|nan|n/?a|unknown|undefined|unnamed|inconnue?|未知|無|无|不明|無名|某人|路人|行人|旁人|男子|女子|男人|女人|少年|少女|老人|[-?？.…_]*|(未知人物|未知|無名|角色|人物|路人|character|person|figure|personnage)\s*[-_#]?\s*([0-9０-９]*|[a-z]|[甲乙丙丁一二三四五六七八九十]+))", re.I)
 PEOPLE, BODIES, CONCEPTS, NEITHER = {"character", "person", "角色", "人物", "personnage"}, {"organisation", "organization", "組織"}, {"concept", "概念"}, {"location", "place", "地點", "object", "item", "物品", "lieu", "objet"}
 
 #: Radius of each space; a swap of letters counts as one edit where swaps are allowed.
-RADIUS = {"PL": 1, "PZ": 1, "PF": 1, "OL": 2, "OS": 1, "OZ": 1, "SL": 1}
+RADIUS = {"PL": 1, "PZ": 1, "PF": 1, "OL": 1, "OS": 1, "OZ": 1, "SL": 1, "OW": 2}
 #: A word with less than this share of the persons of a word one edit away is a slip of it; signs and nicknames need such shares of their names and rows.
 SLIP_SHARE, SIGN_SHARE, NICK_SHARE = 0.1, 0.03, 0.05
 HAN = re.compile("[㐀-鿿]")
@@ -116,13 +118,17 @@ def _one_edit(a: str, b: str) -> bool:
 
 
 @lru_cache(100_000)
-def _class_word(t: str) -> str:
-    """The kind of organisation that a word spells: typed right, with one slip, or short (its first letter and later ones in order, two or more left out); else the word."""
+def _class_word(t: str, french: bool = False, short: bool = True) -> str:
+    """The kind of organisation that a word spells: typed right, with one slip, or short (its first letter and later ones in order, two or more left out); else the word.
+
+    Of several kinds those of the name's language come first, then short ones.
+    """
     if t in CLASSES or len(t) < 2:
         return t
-    slip = next((w for w in CLASSES if len(t) > 4 and _one_edit(t, w)), None)
-    short = min((w for w in CLASSES if t[0] == w[0] and len(t) <= len(w) - 2 and _in_order(t, w)), key=len, default=None)
-    return slip or short or t
+    best = lambda some: min(some, key=lambda w: ((w in FRENCH) != french, len(w)), default=None)
+    slip = best(w for w in CLASSES if len(t) > 3 and _one_edit(t, w))
+    cut = best(w for w in CLASSES if t[0] == w[0] and len(t) <= len(w) - 2 and _in_order(t, w)) if short and t not in TITLES else None
+    return slip or cut or t
 
 
 def _in_order(t: str, w: str) -> bool:
@@ -130,8 +136,8 @@ def _in_order(t: str, w: str) -> bool:
     return all(c in letters for c in t)
 
 
-def _body(s: str) -> list[Form]:
-    """An organisation; empty where no word says that it is one."""
+def _body(s: str, sure: bool = True) -> list[Form]:
+    """An organisation; empty where no word says that it is one. Where the type does not say it either (sure), short words count only beside a stop or a small word."""
     if HAN.search(s):
         s = re.sub(r"\s+", "", s)
         for suffix in sorted(ZH_CLASSES, key=len, reverse=True):
@@ -147,7 +153,9 @@ def _body(s: str) -> list[Form]:
     comma = s.split(",")
     s = " ".join(comma[1:] + comma[:1]) if len(comma) == 2 else s
     tokens = [t for t in re.findall(r"[a-zœæß\d]+", s.replace("-", ""))]
-    words = [_class_word(t) for t in tokens if t not in SMALL_WORDS and "".join(sorted(t)) not in SWAPPED]
+    french = any(t in SMALL_FRENCH for t in tokens)
+    short = sure or "." in s or any(t in SMALL_WORDS for t in tokens)
+    words = [_class_word(t, french, short) for t in tokens if t not in SMALL_WORDS and "".join(sorted(t)) not in SWAPPED and (len(t) > 2 or t == "co")]
     cls = [w for w in words if w in CLASSES]
     rest = [w for w in words if w not in CLASSES]
     if not cls or not rest:
@@ -166,7 +174,7 @@ def forms(name: str, kind: str, foreign_given: set[str]) -> list[Form]:
     s = fold(name)
     if not s or PLACEHOLDER.fullmatch(s):
         return []
-    body = _body(s) if kind != "P" else []
+    body = _body(s, kind == "O") if kind != "P" else []
     if body or kind == "O":
         acronym = re.fullmatch(r"([a-z]\.?){3,5}", s) and (name.isupper() or "." in s)
         return body or ([("acr", s.replace(".", ""), "", "", True)] if acronym else [])
@@ -371,11 +379,12 @@ def _nicknamed(all_forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _points(all_forms: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """What meets in the metric-space join: full names, the full names of nicknames, and family names (SL) with those of initials."""
+    """What meets in the metric-space join: full names, the full names of nicknames, family names (SL) with those of initials, and organisations' words (OW)."""
     families = keys.where("space = 'PL' and given <> ''").select("grp", F.explode(F.array("surname", "given")).alias("key"), "found")
     initials = all_forms.where("space = 'init'").select("grp", "key", F.lit(False).alias("found"))
     points = keys.select("grp", "space", "key", "found").unionByName(_nicknamed(all_forms, vocabulary).select("grp", F.lit("PL").alias("space"), "key", F.lit(False).alias("found")))
-    return points.unionByName(families.unionByName(initials).select("grp", F.lit("SL").alias("space"), "key", "found"))
+    words = keys.where("space = 'OL' and given <> ''").select("grp", F.lit("OW").alias("space"), F.explode(F.split("given", " ")).alias("key"), "found")
+    return points.unionByName(families.unionByName(initials).select("grp", F.lit("SL").alias("space"), "key", "found")).unionByName(words)
 
 
 def _radius() -> Column:
@@ -386,14 +395,19 @@ def _judged(keys: DataFrame, near: DataFrame, vocabulary: DataFrame) -> DataFram
     """(grp, space, a, b): near names that the rules on their parts take for one."""
     a = keys.select("grp", "space", F.col("key").alias("a"), F.col("given").alias("ga"), F.col("surname").alias("sa"))
     b = keys.where("found").select("grp", "space", F.col("key").alias("b"), F.col("given").alias("gb"), F.col("surname").alias("sb"))
-    pairs = near.where("space <> 'SL'").join(a, ["grp", "space", "a"]).join(b, ["grp", "space", "b"]).select("grp", "space", "a", "b", "ga", "gb", "distance")
+    pairs = near.where("space not in ('SL', 'OW')").join(a, ["grp", "space", "a"]).join(b, ["grp", "space", "b"]).select("grp", "space", "a", "b", "ga", "gb", "distance")
     # long names may have one slip in each part: near family names, then near given names
     slips = near.where("space = 'SL'").select("grp", F.col("a").alias("sa"), F.col("b").alias("sb"), F.lit("PL").alias("space"))
     each = slips.join(a.where("ga <> '' and length(a) >= 14"), ["grp", "space", "sa"]).join(b.where("gb <> ''"), ["grp", "space", "sb"])
     each = each.where((F.levenshtein("ga", "gb", 1) == 1) & (F.levenshtein("a", "b", 2) == 2)).select("grp", "space", "a", "b", "ga", "gb", F.lit(2).alias("distance"))
+    # names of organisations may have two slips, in one word or two, so one word at least is near
+    of = lambda side, g: side.where(F.col("space") == "OL").withColumn("w", F.explode(F.split(g, " "))).where("w <> ''")
+    words = near.where("space = 'OW'").select("grp", F.col("a").alias("wa"), F.col("b").alias("wb"), F.lit("OL").alias("space"))
+    two = words.join(of(a, "ga").withColumnRenamed("w", "wa"), ["grp", "space", "wa"]).join(of(b, "gb").withColumnRenamed("w", "wb"), ["grp", "space", "wb"])
+    two = two.where(F.levenshtein("a", "b", 2) == 2).select("grp", "space", "a", "b", "ga", "gb", F.lit(2).alias("distance"))
     token = F.split("ga", " "), F.split("gb", " ")
     other = F.array_except(*token), F.array_except(*token[::-1])
-    pairs = pairs.unionByName(each).withColumns({"oa": F.when(F.size(other[0]) == 1, other[0][0]), "ob": F.when(F.size(other[1]) == 1, other[1][0])})
+    pairs = pairs.unionByName(each).unionByName(two).withColumns({"oa": F.when(F.size(other[0]) == 1, other[0][0]), "ob": F.when(F.size(other[1]) == 1, other[1][0])})
     words = _of(vocabulary, "word", "space", "w")
     pairs = pairs.join(words.select("space", F.col("w").alias("oa"), F.lit(True).alias("wa")), ["space", "oa"], "left").join(words.select("space", F.col("w").alias("ob"), F.lit(True).alias("wb")), ["space", "ob"], "left")
     signs = F.when(F.length("a") == F.length("b"), F.get(_unlike("a", "b"), F.lit(0)))

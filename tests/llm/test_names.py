@@ -4,7 +4,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from scenograph.llm.components import components
-from scenograph.llm.names import _one_edit, forms, linked_pairs, linked_rows, radius_join
+from scenograph.llm.names import _body, _class_word, _one_edit, forms, linked_pairs, linked_rows, radius_join
 
 SCHEMA = "id string, grp string, type string, keyword string, aliases array<string>, entity string"
 
@@ -120,7 +120,7 @@ def test_repeated_slips_and_copies_are_no_known_words(spark):
     rows += [(f"n|{i}", "character", f"Hezeeiah {people[i]}", None) for i in range(5)]  # one slip, five times
     rows += [(f"o|{g}", "character", f"Josephine {people[g]}", None) for g in range(6)]
     rows += [("o|0", "character", f"Josephin {people[0]}", None)] * 6  # a slip in copies of one row
-    linked, _ = groups(spark, rows)
+    linked, _ = groups(spark, rows, with_pairs=True)
     assert linked == {frozenset({i, 60 + i}) for i in range(5)} | {frozenset({65, *range(71, 77)})}
 
 
@@ -138,10 +138,18 @@ def test_mined_nicknames_and_signs(spark):
     rows += [(f"o|{g}", "character", f"Augustine {'abcdefghijklmn'[g] * 9}", None) for g in range(14)]
     rows += [(f"n|{g}", "character", "柳白璃", ["柳白離"]) for g in range(3)]
     rows += [("m|1", "character", "Gus Stenvale", None), ("m|1", "character", "Augustine Stenvale", None), ("m|1", "character", "宋千璃", None), ("m|1", "character", "宋千離", None), ("m|1", "character", "宋千河", None)]
-    linked, _ = groups(spark, rows)
+    linked, _ = groups(spark, rows, with_pairs=True)
     assert linked == {frozenset({20, 21}), frozenset({22, 23})}
 
 
+def test_short_class_words_are_read_by_rule():
+    for t, french, want in (("gld", False, "guild"), ("acad", True, "academie"), ("acad", False, "academy"), ("ord", True, "ordre"), ("cmpy", False, "company"), ("cie", True, "compagnie"), ("socy", False, "society"), ("guld", False, "guild"), ("bell", False, "bell"), ("brother", False, "brother")):
+        assert _class_word(t, french) == want
+    assert _body("Tad Corwin".lower(), sure=False) == []
+    key = lambda s: _body(s)[0][1]
+    assert key("ordre dl plumier sale") == key("plumier sale, ordre du") == key("ord. du plumier sale")
+
+
 def test_forms_of_blank_names():
     for name in ("", "  ", "None", "角色 12", "未知", "?"):
         assert forms(name, "P", set()) == []
