@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scenograph.functions import predicates as P
 from scenograph.functions import text as X
-from scenograph.operators import agent, catalog, extraction, links, merge, references, retrieval, scenes, summary
+from scenograph.config import Settings
+from scenograph.operators import catalog, extraction, links, merge, process, references, retrieval, scenes, summary
 from scenograph.plans.knowledge import chunks, entities, questions, searched
 from scenograph.plans.knowledge_sql import ASKED, CUR, SEARCHED, _bm25, _fold_by, _list, _near, _scaled, _seams, _SHOWN, _VERSIONS, _vectors
 from scenograph.session import scratch_path
@@ -210,6 +211,26 @@ def get_vol_summary_tool(spark: SparkSession, d: str) -> DataFrame:
     return out.select("novel_hash", "vol_num", found.alias("found"), F.when(~found, "summary_not_generated").alias("reason"), F.md5("outline").alias("summary"))
 
 
+# the entity flow
+
+
+def process_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each mention when entities are found by any of their names, names that earlier mentions added included."""
+    steps = process.resolution_steps(read(spark, d, "mentions"), process.ByName, Settings.of(spark))
+    return steps.select("mention_id", "entity", "merged", "tainted")
+
+
+def process_gated_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The same with candidates by vectors and the gate."""
+    return process.resolution_steps(read(spark, d, "mentions"), process.ByGate, Settings.of(spark))
+
+
+def process_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that the gated flow leaves."""
+    e = process.resolved_entities(read(spark, d, "mentions"), process.ByGate, Settings.of(spark))
+    return e.select("novel_hash", "entity", "entity_type", "keyword", F.array_join("aliases", "|").alias("aliases"), F.array_join("categories", "|").alias("categories"), F.size("appeared_in").alias("scenes"), F.size("chunk_refs").alias("chunks"), "tainted", "reason", "mentions")
+
+
 # references with partly null keys
 
 
@@ -238,7 +259,7 @@ QUERIES = {
     for f in (
         embed_prefixes, reasoning_split, tool_calls_stripped, lenient_flags, rendered_prompts, log_names, scoped_entities, validated_merges, extended_types, kv_keys,
         history_summary, entity_backups, augmented_scenes, scene_upkeep, decided_scenes, oversized_scenes, resumed_summaries, find_entity_scenes_tool,
-        search_scenes_tool, get_scene_content_tool, get_vol_summary_tool, p5_documents_simple, p5_documents_partial, p5_documents_full,
+        search_scenes_tool, get_scene_content_tool, get_vol_summary_tool, process_steps, process_gated_steps, process_entities, p5_documents_simple, p5_documents_partial, p5_documents_full,
     )
 }
 
@@ -310,6 +331,16 @@ select novel_hash, vol_num, scene_index, chunk_uuid is not null as found, token_
     "get_vol_summary_tool": CUR + f""", a as (select novel_hash, unnest(range(1, max(vol_num) + 2))::int as vol_num from mentions group by novel_hash),
 s as (select novel_hash, vol_num, coalesce(string_agg(nullif({_LINE_}, ''), ' → ' order by scene_index), '') as outline from chunks_ where trim(content) <> '' group by all)
 select novel_hash, vol_num, outline is not null as found, case when outline is null then 'summary_not_generated' end as reason, md5(outline) as summary from a left join s using (novel_hash, vol_num)""",
+    "process_steps": f"""with recursive k as (select * from mentions where upper(trim(coalesce(keyword, ''))) not in ({_list(P.NO_KEYWORD)}) and not regexp_matches(trim(coalesce(keyword, '')), '{P.PLACEHOLDER}') and not {_NONE.format('context_summary')} and novel_hash is not null),
+o as (select novel_hash, vol_num, scene_index, ordinal, min({{'k': keyword, 't': coalesce(mention_type, ''), 'c': context_summary, 'a': coalesce(array_to_string(aliases, '|'), ''), 'g': coalesce(array_to_string(categories, '|'), '')}}) as v from k group by all),
+m as (select novel_hash, concat_ws(':', novel_hash, vol_num, scene_index, ordinal) as id, row_number() over (partition by novel_hash order by vol_num, scene_index, ordinal) as i, lower(trim(v.k)) as name, length(v.c) as c,
+  list_distinct(list_concat([lower(trim(v.k))], list_transform(list_filter(string_split(v.a, '|'), lambda x: x <> ''), lambda x: lower(trim(x))))) as names from o),
+r as (select novel_hash, id, i, [{{'n': names, 'd': c, 't': len(names) - 1 > 8 or c > 800}}] as s, 1 as entity, false as merged, len(names) - 1 > 8 or c > 800 as tainted from m where i = 1
+  union all select novel_hash, id, i, case when hit > 0 then list_transform(s, lambda x, j: case when j = hit then {{'n': list_distinct(list_concat(x.n, names)), 'd': x.d + c + 1, 't': len(list_distinct(list_concat(x.n, names))) - 1 > 8 or x.d + c + 1 > 800}} else x end)
+      else list_append(s, {{'n': names, 'd': c, 't': len(names) - 1 > 8 or c > 800}}) end as s, case when hit > 0 then hit else len(s) + 1 end as entity, hit > 0 as merged,
+      case when hit > 0 then len(list_distinct(list_concat(s[hit].n, names))) - 1 > 8 or s[hit].d + c + 1 > 800 else len(names) - 1 > 8 or c > 800 end as tainted
+    from (select m.*, r.s, coalesce(list_position(list_transform(r.s, lambda x: not x.t and list_contains(x.n, m.name)), true), 0)::int as hit from r join m on m.novel_hash = r.novel_hash and m.i = r.i + 1))
+select id as mention_id, entity::int as entity, merged, tainted from r""",
     "p5_documents_simple": _volume_sql(_WHOLE),
     "p5_documents_partial": _volume_sql(_WHOLE + """ union all select r.*, 'missing' from r where (vol_num is null and novel_hash is not null and novel_hash not in (select novel_hash from t where novel_hash is not null))
   or (novel_hash is null and vol_num is not null and vol_num not in (select vol_num from t where vol_num is not null))"""),

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from scenograph.operators import agent, catalog, links, merge, retrieval, scenes, scoring, summary
+from scenograph.operators import agent, catalog, links, merge, process, retrieval, scenes, scoring, summary
 from scenograph.sources import keyvalue, volumes
 from scenograph.tables import current_rows
 
@@ -208,3 +208,39 @@ def test_resumed_state(spark):
     assert show(first) == {("n", 1): ([2], "two", False)}
     assert show(summary.compacted(summary.resume(first, s), s)) == {("n", 1): ([1, 2], "two → one", True), ("m", 1): ([1], "x", True)}
     assert show(summary.compacted(summary.resume(first, s), s, most=4))[("n", 1)] == ([1, 2], "two ", True)
+
+
+MENTION = "novel_hash string, vol_num int, scene_index int, ordinal int, keyword string, aliases array<string>, categories array<string>, mention_type string, context_summary string"
+
+
+def test_each_mention_sees_what_was_written_before(spark):
+    rows = [
+        ("n", 1, 1, 1, "Anna Berg", ["Annie"], ["cook"], "character", "She cooks."),  # 1
+        ("n", 1, 1, 2, "Annie", ["The Spoon", None], None, "person", "She sings."),  # by the alias of the first
+        ("n", 1, 1, 2, "Annie", ["The Spoon", None], None, "person", "She sings."),  # a copy
+        ("n", 1, 2, 1, "the spoon", None, None, "character", "x" * 800),  # by the alias of the second; the description taints
+        ("n", 1, 3, 1, "Anna Berg", None, None, "character", "She is back."),  # the tainted one is not found: new
+        ("n", 2, 1, 1, "annie", None, None, "character", "Nobody."),  # the new one is not called so
+        ("n", 2, 1, 2, "N/A", None, None, "character", "Nothing."),
+        ("n", 2, 1, 3, "Bob", None, None, "character", "none"),
+        ("m", 1, 1, 1, "Anna Berg", None, None, None, "Another novel."),
+        (None, 1, 1, 1, "Anna Berg", None, None, None, "No novel."),
+    ]
+    df = spark.createDataFrame(rows, MENTION)
+    steps = {r.mention_id: (r.entity, r.merged, r.tainted) for r in process.resolution_steps(df, process.ByName).collect()}
+    assert steps == {"n:1:1:1": (1, False, False), "n:1:1:2": (1, True, False), "n:1:2:1": (1, True, True), "n:1:3:1": (2, False, False), "n:2:1:1": (3, False, False), "m:1:1:1": (1, False, False)}
+    first = next(r for r in process.resolved_entities(df, process.ByName).collect() if r.novel_hash == "n" and r.entity == 1)
+    assert (first.keyword, first.aliases, first.categories, first.appeared_in, first.mentions) == ("Anna Berg", ["Annie", "The Spoon"], ["cook", "person"], [1, 2], 3)
+    assert first.reason.startswith("description 8") and len(first.chunk_refs) == 2
+    assert process.resolution_steps(df.where("false")).count() == 0
+
+
+def test_the_gate_merges_and_taints(spark):
+    rows = [
+        ("n", 1, 1, 1, "Anna Berg", None, None, "character", "She cooks in the harbour."),
+        ("n", 1, 2, 1, "Anna Berg", None, None, "character", "She cooks again."),  # rule 1
+        ("n", 1, 3, 1, "Anna", None, None, "character", "Who cooks?"),  # rule 1, names lie apart: cosine 0.71
+        ("n", 1, 4, 1, "Quartz", None, None, "object", "A stone."),
+    ]
+    got = [(r.entity, r.merged, r.reason) for r in process.resolution_steps(spark.createDataFrame(rows, MENTION)).orderBy("mention_id").collect()]
+    assert got == [(1, False, ""), (1, True, ""), (1, True, "cosine 0.71"), (2, False, "")]
