@@ -107,6 +107,24 @@ def entity_backups(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("novel_hash", "vol_num", "entity_type").agg(F.countDistinct("entity_uuid").alias("entities"))
 
 
+def step_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of two runs in one place, new entities first and merges after them: records per novel and kind."""
+    base = scratch_path(spark, "logs")
+    v = merge.versions(read(spark, d, "entities").where("entity_uuid is not null")).select("novel_hash", "entity_uuid", "version", F.when(F.col("version") > 1, "merge").otherwise("new").alias("step"))
+    keyvalue.append_log(v.where("version = 1"), base)
+    keyvalue.append_log(v.where("version > 1"), base)
+    return spark.read.schema("novel_hash string, step string").json(base).groupBy("novel_hash", "step").agg(F.count("*").alias("records"))
+
+
+def cleaned_states(spark: SparkSession, d: str) -> DataFrame:
+    """Summary states left, and begun anew, after those of the first volumes are cleaned."""
+    now = chunks(spark, d, "novel_hash", "vol_num", "scene_index", "content")
+    state = summary.resume(spark.createDataFrame([], STATE), now)
+    left = links.delete_volumes(state, now.where("vol_num = 1"))
+    again = summary.resume(left, now.where("scene_index % 2 = 0"))
+    return again.select("novel_hash", "vol_num", F.size("updated_scenes").alias("scenes"))
+
+
 def augmented_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Scenes with the entities found in them: how many, and their keywords in order."""
     found = links.to_entities(chunks(spark, d, "entity_refs"), entities(spark, d, "keyword"))
@@ -258,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         embed_prefixes, reasoning_split, tool_calls_stripped, lenient_flags, rendered_prompts, log_names, scoped_entities, validated_merges, extended_types, kv_keys,
-        history_summary, entity_backups, augmented_scenes, scene_upkeep, decided_scenes, oversized_scenes, resumed_summaries, find_entity_scenes_tool,
+        history_summary, entity_backups, step_logs, cleaned_states, augmented_scenes, scene_upkeep, decided_scenes, oversized_scenes, resumed_summaries, find_entity_scenes_tool,
         search_scenes_tool, get_scene_content_tool, get_vol_summary_tool, process_steps, process_gated_steps, process_entities, p5_documents_simple, p5_documents_partial, p5_documents_full,
     )
 }
@@ -306,6 +324,8 @@ select entity_uuid, version, asked is not distinct from keyword and not {_NONE.f
 select novel_hash, string_agg(coalesce(title, ''), chr(10) order by n desc) as history from l group by all""",
     "entity_backups": CUR + """, s as (select distinct e.novel_hash, e.vol_num, coalesce(e.entity_type, 'none') as entity_type, e.entity_uuid from entities e join entities_ c using (entity_uuid) where coalesce(e.entity_type, 'none') = coalesce(c.entity_type, 'none'))
 select novel_hash, vol_num, entity_type, count(distinct entity_uuid) as entities from s group by all""",
+    "step_logs": _WRITTEN + " select novel_hash, case when version > 1 then 'merge' else 'new' end as step, count(*) as records from v group by all",
+    "cleaned_states": CUR + " select novel_hash, vol_num, count(*)::int as scenes from chunks_ where trim(content) <> '' and (vol_num <> 1 or scene_index % 2 = 0) group by all",
     "augmented_scenes": CUR + """, r as (select chunk_uuid, unnest(range(len(entity_refs))) as p, unnest(entity_refs) as entity_uuid from chunks_), f as (select chunk_uuid, entity_uuid, min(p) as p from r group by all),
 n as (select chunk_uuid, count(*) as c, string_agg(coalesce(keyword, ''), '|' order by p) as k from f join entities_ using (entity_uuid) group by all)
 select chunk_uuid, coalesce(c, 0) as entities, coalesce(k, '') as keywords from chunks_ left join n using (chunk_uuid)""",
