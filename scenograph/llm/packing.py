@@ -10,7 +10,6 @@ full containers and a rest, and the rest is packed like any text.
 from __future__ import annotations
 
 import base64
-import functools
 import math
 from collections.abc import Iterator
 
@@ -29,20 +28,25 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 OPEN, ROUND = 20, 50  # bits of a container's number within its shard, and the place of the round
 
 
-@functools.cache
-def tokenizer(path: str, pattern: str):
+_encoders: dict[tuple[str, str], object] = {}  # of this worker
+
+
+def tokenizer(path: str, pattern: str, vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    if (path, pattern) not in _encoders:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _encoders[path, pattern] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]
 
 
 def token_counts(df: DataFrame, item: str, text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(item, n_tokens) of every row; null and empty texts have 0 tokens."""
+    """(item, n_tokens) of every row; null and empty texts have 0 tokens. The vocabulary is read on the driver and broadcast, so executors need no file."""
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path, pattern).encode_ordinary
+        encode = tokenizer(path, pattern, shared.value).encode_ordinary
         for b in (x for whole in batches for x in slices(whole, 1)):
             n = [len(encode(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64())], names=["item", "n_tokens"])
