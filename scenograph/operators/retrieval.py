@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from scenograph.functions.predicates import not_tainted
 from scenograph.functions.text import identity_text, tokens
 from scenograph.functions.vectors import certainty, sparse_vectors
 from scenograph.operators.scoring import prepared, scored
+from scenograph.session import materialize
 
 STRONG, KEEP, CONTENT_LEAST, CONTENT_STRONG = 0.75, 0.62, 0.10, 0.35
 K1, B = 1.2, 0.75
@@ -35,14 +38,15 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 def near_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
     """queries(query_id, vec), rows(row_id, vec) -> (query_id, row_id, certainty), the k nearest by cosine; ties by row_id.
 
-    The query set is read in blocks of at most block_rows vectors, so what is broadcast is bounded; each block is multiplied with the rows batch by batch
-    and every batch passes on its k best, so at most k rows a query and batch are shuffled. A row is not its own neighbour.
+    The query set is read in blocks of at most block_rows vectors, one at a time, so what is broadcast is bounded; each block is multiplied with the rows
+    batch by batch and every batch passes on its k best, so at most k rows a query and batch are shuffled. A row is not its own neighbour.
     """
     spark = rows.sparkSession
-    out = None
+    done: list[DataFrame] = []
+    last = None
     schema = "query_id long, row_id long, cosine double"
 
-    def search(block: list) -> DataFrame:
+    def search(block: list) -> tuple[DataFrame, Broadcast]:
         ids = np.array([r[0] for r in block], np.int64)
         m = np.array([r[1] for r in block], np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
@@ -65,15 +69,28 @@ def near_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, block_rows: in
                     ok = score > -9
                     yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(row[best.ravel()][ok]), pa.array(score[ok])], names=["query_id", "row_id", "cosine"])
 
-        return rows.where("row_id is not null and vec is not null").select("row_id", "vec").mapInArrow(run, schema)
+        return rows.where("row_id is not null and vec is not null").select("row_id", "vec").mapInArrow(run, schema), shared
+
+    def settled(found: DataFrame, shared: Broadcast) -> DataFrame:
+        out = materialize(found, "near")
+        shared.destroy()
+        return out
 
     block: list = []
     for r in queries.where("query_id is not null and vec is not null").select("query_id", "vec").toLocalIterator():
         block.append(r)
         if len(block) == block_rows:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        out = search(block) if out is None and block else out.unionByName(search(block)) if block else spark.createDataFrame([], schema)
+            if last:
+                done.append(settled(*last))
+            last, block = search(block), []
+    if block:
+        if last:
+            done.append(settled(*last))
+        last = search(block)
+    if not last:
+        out = spark.createDataFrame([], schema)
+    else:
+        out = reduce(DataFrame.unionByName, [*done, settled(*last)]) if done else last[0]
     return top_k(out, ["query_id"], [F.col("cosine").desc(), F.col("row_id")], k).select("query_id", "row_id", certainty("cosine").alias("certainty"))
 
 
