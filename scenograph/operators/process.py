@@ -1,15 +1,18 @@
 """The entity flow: mentions of a novel in order, each searched among the entities written so far, merged or made new, guarded and written back.
 
 What one mention writes the next one sees, so the work of a novel is a sequence. Novels are spread over tasks; a task streams its mentions, sorted, and holds
-only the entities of the novel it is at, never the mentions.
+only the entities of the novel it is at that may still change, never the mentions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,54 +79,75 @@ class ByName:
                 held.sort(key=lambda x: x.number)
 
 
+_tokens = re.compile(TOKEN).findall
+
+
+@lru_cache(1 << 16)
+def _bucket(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % BUCKETS
+
+
+def _vector(text: str) -> np.ndarray:
+    v = np.bincount(np.array([_bucket(t) for t in _tokens(text.lower())], np.int64), minlength=BUCKETS).astype(float)
+    return v / max(math.sqrt(v.dot(v)), 1e-300)
+
+
+_name_vector = lru_cache(1 << 12)(_vector)
+
+
 class ByGate:
     """Candidates by the two tracks: vectors of names, of the same type where there is any, and of the told text, of the same type; the gate decides.
 
-    Word frequencies over a table that every step changes are not kept, so the told track is its vector alone.
+    Only entities that are not tainted are held, in order of creation: a tainted one is never found, so never written again. Word frequencies over a table
+    that every step changes are not kept, so the told track is its vector alone.
     """
 
     def __init__(self, settings: Settings) -> None:
         self.s = settings
         self.entities: list[Entity] = []
-        self.name, self.told = np.zeros((64, BUCKETS)), np.zeros((64, BUCKETS))
-        self.types: list[str] = []
+        self.numbers: list[int] = []
+        self.kinds: dict[str, int] = {}
+        self.types, self.name, self.told = np.zeros(64, np.int64), np.zeros((64, BUCKETS)), np.zeros((64, BUCKETS))
 
-    def vector(self, text: str) -> np.ndarray:
-        v = np.zeros(BUCKETS)
-        for t in re.findall(TOKEN, text.lower()):
-            v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % BUCKETS] += 1
-        return v / max(np.linalg.norm(v), 1e-300)
+    def vector(self, name: str) -> np.ndarray:
+        return _name_vector(name)
 
     def find(self, m: Mention) -> list[tuple[Entity, int]]:
         n = len(self.entities)
         if not n:
             return []
-        open_ = np.array([not e.tainted for e in self.entities])
-        same = open_ & (np.array(self.types) == plain(m.type))
-        a, b = self.name[:n] @ self.vector(m.keyword), self.told[:n] @ self.vector(f"{m.keyword} {m.context[:400]}")
+        same = self.types[:n] == self.kinds.get(plain(m.type), -1)
+        a, b = self.name[:n] @ self.vector(m.keyword), self.told[:n] @ _vector(f"{m.keyword} {m.context[:400]}")
         near = a > 0
-        pool = near & same if (near & same).any() else near & open_
-        sure = np.where(pool, np.maximum(0, 1 - (1 - a) / 2), 0)
-        content = np.where(same, b, 0)
-        top = lambda x: {int(i) for i in np.lexsort((np.arange(n), -np.round(x, 9)))[: self.s.top_k] if x[i] > 0}
-        found = []
-        for i in top(sure) | top(content):
-            e = self.entities[i]
-            overlap = bool((set(m.keyword.lower()) & set(e.keyword.lower())) - {" "})
+        pool = near & same if (near & same).any() else near
+        both = np.stack((np.where(pool, np.maximum(0, 1 - (1 - a) / 2), 0), np.where(same, b, 0)))
+        order = np.argsort(-np.round(both, 9), axis=1, kind="stable")[:, : self.s.top_k].tolist()
+        sure, content = both.tolist()
+        letters, found = set(m.keyword.lower()) - {" "}, []
+        for i in {i for i in order[0] if sure[i] > 0} | {i for i in order[1] if content[i] > 0}:
+            overlap = not letters.isdisjoint(self.entities[i].keyword.lower())
             rule = 1 if sure[i] >= self.s.identity_strong else 2 if overlap and sure[i] >= self.s.identity_keep else 3 if overlap and content[i] >= self.s.content_least else 4 if content[i] >= self.s.content_strong else 0
             if rule:
-                found.append((-round(float(sure[i] if rule <= 2 else content[i]), 9), i, rule))
+                found.append((-round(sure[i] if rule <= 2 else content[i], 9), i, rule))
         return [(self.entities[i], rule) for _, i, rule in sorted(found)[: self.s.top_k]]
 
     def written(self, e: Entity) -> None:
-        i = e.number - 1
-        if i == len(self.entities):
+        n = len(self.entities)
+        i = bisect_left(self.numbers, e.number)
+        held = i < n and self.numbers[i] == e.number
+        if e.tainted:
+            if held:
+                del self.entities[i], self.numbers[i]
+                for x in (self.types, self.name, self.told):
+                    x[i : n - 1] = x[i + 1 : n]
+            return
+        if not held:  # the newest: the last
             self.entities.append(e)
-            self.types.append("")
+            self.numbers.append(e.number)
             if i == len(self.name):
-                self.name, self.told = (np.concatenate((x, np.zeros_like(x))) for x in (self.name, self.told))
-        self.types[i] = plain(e.type)
-        self.name[i], self.told[i] = self.vector(" ".join((e.keyword, *e.aliases))), self.vector(e.description)
+                self.types, self.name, self.told = (np.concatenate((x, np.zeros_like(x))) for x in (self.types, self.name, self.told))
+        self.types[i] = self.kinds.setdefault(plain(e.type), len(self.kinds))
+        self.name[i], self.told[i] = _vector(" ".join((e.keyword, *e.aliases))), _vector(e.description)
 
 
 def _union(*lists: list[str]) -> list[str]:
@@ -188,11 +212,10 @@ def _run(mentions: DataFrame, search: Callable, settings: Settings, schema: str,
     gate_names = search is ByGate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novel, found, entities, out = None, None, [], []
+        novel, found, count, held, out = None, None, 0, {}, []
 
-        def close() -> None:
-            if whole:
-                out.extend((novel, e.number, e.type, e.keyword, e.aliases, e.categories, e.appeared_in, e.chunk_refs, e.description, e.tainted, e.reason, e.mentions) for e in entities)
+        def give(entities: Iterable[Entity]) -> None:
+            out.extend((novel, e.number, e.type, e.keyword, e.aliases, e.categories, e.appeared_in, e.chunk_refs, e.description, e.tainted, e.reason, e.mentions) for e in entities)
 
         def batch() -> pa.RecordBatch:
             strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
@@ -204,18 +227,20 @@ def _run(mentions: DataFrame, search: Callable, settings: Settings, schema: str,
         for b in batches:
             for r in b.to_pylist():
                 if r["novel_hash"] != novel:
-                    if novel is not None:
-                        close()
-                    novel, found, entities = r["novel_hash"], search(settings), []
+                    give(held.values())
+                    novel, found, count, held = r["novel_hash"], search(settings), 0, {}
                 m = Mention(r["mention_id"], r["vol_num"] or 0, r["scene_index"] or 0, r["keyword"], [x for x in r["aliases"].split("|") if x], [x for x in r["categories"].split("|") if x], r["mention_type"], r["context_summary"], r["chunk"])
-                e, merged, candidates = step(m, found, len(entities), settings, gate_names)
-                if e is not None and not merged:
-                    entities.append(e)
+                e, merged, candidates = step(m, found, count, settings, gate_names)
+                count += e is not None and not merged
                 if not whole:
                     out.append((m.id, e.number if e else None, merged, candidates, e.tainted if e else False, e.reason if e else ""))
+                elif e is not None and e.tainted:  # nothing finds it again
+                    held.pop(e.number, None)
+                    give([e])
+                elif e is not None:
+                    held[e.number] = e
             yield batch()
-        if novel is not None:
-            close()
+        give(held.values())
         yield batch()
 
     return _ordered(mentions).mapInArrow(run, schema)

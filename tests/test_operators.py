@@ -1,7 +1,9 @@
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from scenograph.config import Settings
 from scenograph.operators import agent, catalog, links, merge, process, retrieval, scenes, scoring, summary
 from scenograph.sources import keyvalue, volumes
 from scenograph.tables import current_rows
@@ -244,3 +246,41 @@ def test_the_gate_merges_and_taints(spark):
     ]
     got = [(r.entity, r.merged, r.reason) for r in process.resolution_steps(spark.createDataFrame(rows, MENTION)).orderBy("mention_id").collect()]
     assert got == [(1, False, ""), (1, True, ""), (1, True, "cosine 0.71"), (2, False, "")]
+
+
+def test_the_gate_holds_only_what_may_still_be_found():
+    """Against a search that keeps every entity and filters tainted ones each time."""
+    random = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    name = lambda n: " ".join(random.choice(words, n))
+    told = [process.Mention(str(i), 1, i, name(2), [name(2)] * (i % 3), [], f"t{i % 2}", name(12), "c") for i in range(400)]
+    told += [process.Mention(str(i), 1, i, "lone", [], [], "t0", "x" * 801, "c") for i in range(50)]  # tainted when made
+    told += [process.Mention("z", 1, 1, "lone", [], [], "t0", "again", "c")]  # so there is nothing to find
+    s = Settings()
+
+    class Every(process.ByGate):
+        every: dict = {}
+
+        def written(self, e):
+            self.every[e.number] = e
+            self.__init__(self.s)
+            for x in self.every.values():
+                super().written(x)
+
+    runs = []
+    for search in (process.ByGate(s), Every(s)):
+        count, steps = 0, []
+        for m in told:
+            e, merged, candidates = process.step(m, search, count, s, True)
+            count += not merged
+            steps.append((e.number, merged, candidates, e.tainted))
+        runs.append(steps)
+        assert all(not e.tainted for e in search.entities) and len(search.entities) < count - 50
+    assert runs[0] == runs[1] and any(m for _, m, _, _ in runs[0]) and not runs[0][-1][1]
+
+
+def test_entities_leave_once(spark):
+    rows = [(n, 1, i, 1, "Anna Berg", None, None, "character", "x" * (801 if i % 2 else 5)) for n in "abcdefgh" for i in range(1, 5)]
+    df = spark.createDataFrame(rows, MENTION)
+    got = sorted((r.novel_hash, r.entity, r.tainted, r.mentions) for r in process.resolved_entities(df).collect())
+    assert got == sorted((n, *x) for n in "abcdefgh" for x in ((1, True, 1), (2, True, 2), (3, False, 1)))
