@@ -204,7 +204,8 @@ def _ordered(mentions: DataFrame) -> DataFrame:
     kept = mentions.where(valid_keyword() & valid_context() & F.col("novel_hash").isNotNull())
     one = kept.groupBy("novel_hash", *ORDER).agg(F.min(F.struct(text("keyword"), text("mention_type"), text("context_summary"), many("aliases"), many("categories"))).alias("r")).select("novel_hash", *ORDER, "r.*")
     rows = one.withColumn("mention_id", F.concat_ws(":", "novel_hash", *ORDER)).withColumn("chunk", chunk_uuid())
-    return rows.repartition("novel_hash").sortWithinPartitions("novel_hash", *ORDER)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced: a task's time goes by novels, not by bytes
+    return rows.repartition(parts, "novel_hash").sortWithinPartitions("novel_hash", *ORDER)
 
 
 def _run(mentions: DataFrame, search: Callable, settings: Settings, schema: str, whole: bool) -> DataFrame:

@@ -284,3 +284,8 @@ def test_entities_leave_once(spark):
     df = spark.createDataFrame(rows, MENTION)
     got = sorted((r.novel_hash, r.entity, r.tainted, r.mentions) for r in process.resolved_entities(df).collect())
     assert got == sorted((n, *x) for n in "abcdefgh" for x in ((1, True, 1), (2, True, 2), (3, False, 1)))
+
+
+def test_novels_are_spread_by_a_stated_number_of_tasks(spark):
+    df = spark.createDataFrame([(n, 1, 1, 1, "Anna Berg", None, None, "character", "She cooks.") for n in "abcdefgh"], MENTION)
+    assert process.resolution_steps(df).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
