@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scenograph.functions.predicates import not_tainted
 from scenograph.functions.text import identity_text, tokens
 from scenograph.functions.vectors import certainty, sparse_vectors
+from scenograph.operators.ranking import ranked
 from scenograph.operators.scoring import prepared, scored
 from scenograph.session import materialize
 
@@ -174,10 +175,10 @@ def search(queries: DataFrame, docs: DataFrame, key: str, text: str, words: str,
 
 
 def ranked_search(queries: DataFrame, docs: DataFrame, key: str, text: str, words: str, limit: int = 5, scope: str = "novel_hash") -> DataFrame:
-    """The same by reciprocal ranks in both lists; ranks need whole lists, so all pairs that share something are sorted."""
-    vector = sparse_near(queries, docs, [scope], [key], ["query_id"], "query_text", text)
-    keyword = bm25(queries, docs, [scope], [key], ["query_id"], "query_text", words)
-    return top_k(ranked_fuse(vector, keyword, ["query_id", key], ["query_id"]), ["query_id"], [F.round("hybrid", 9).desc(), F.col(key)], limit)
+    """The same by reciprocal ranks in both lists, exact over whole lists."""
+    asked = prepared(queries, "query_id", scope, F.col("query_text"), F.col("query_text"))
+    best = ranked(prepared(docs, key, scope, F.col(text), F.col(words), unscoped=True), asked, limit)
+    return best.select(F.col("qid").alias("query_id"), F.col("key").alias(key), F.col("score").alias("hybrid"))
 
 
 def clamp(limit: int, most: int = 15) -> int:

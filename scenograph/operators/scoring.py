@@ -23,11 +23,11 @@ SAME, ANY, LOW, HIGH, LEAST, MOST, HYBRID = range(7)  # kinds of rows that a cel
 OUT = "qid string, key string, kind int, score double"
 
 
-def prepared(df: DataFrame, key: str, scope: str, text: Column, words: Column, name: Column | None = None, vol: Column | None = None, kind: Column | None = None) -> DataFrame:
-    """Rows as cells take them: buckets of the hashed tokens of name and text, hashes of the words for BM25. Missing vol and kind: no filter."""
+def prepared(df: DataFrame, key: str, scope: str, text: Column, words: Column, name: Column | None = None, vol: Column | None = None, kind: Column | None = None, unscoped: bool = False) -> DataFrame:
+    """Rows as cells take them: buckets of the hashed tokens of name and text, hashes of the words for BM25. Missing vol and kind: no filter. unscoped: rows without scope stay."""
     buckets = lambda c: F.transform(tokens(c), lambda t: bucket(t))
     none = F.array().cast("array<int>")
-    return df.where(F.col(key).isNotNull() & F.col(scope).isNotNull()).select(
+    return df.where(F.col(key).isNotNull() & (F.lit(unscoped) | F.col(scope).isNotNull())).select(
         F.col(key).cast("string").alias("key"), F.col(scope).alias("scope"), (vol if vol is not None else F.lit(0)).cast("int").alias("vol"),
         (kind if kind is not None else F.lit("")).alias("type"), (buckets(name) if name is not None else none).alias("name"), buckets(text).alias("text"),
         F.transform(tokens(words), lambda t: F.xxhash64(t)).alias("words"),

@@ -1,10 +1,11 @@
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scenograph.config import Settings
-from scenograph.operators import agent, catalog, links, merge, process, retrieval, scenes, scoring, summary
+from scenograph.operators import agent, catalog, links, merge, process, ranking, retrieval, scenes, scoring, summary
 from scenograph.sources import keyvalue, volumes
 from scenograph.tables import current_rows
 
@@ -289,3 +290,38 @@ def test_entities_leave_once(spark):
 def test_novels_are_spread_by_a_stated_number_of_tasks(spark):
     df = spark.createDataFrame([(n, 1, 1, 1, "Anna Berg", None, None, "character", "She cooks.") for n in "abcdefgh"], MENTION)
     assert process.resolution_steps(df).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ranks_are_exact_without_whole_lists(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(25)]
+    some = lambda n: " ".join(random.choice(words, n))
+    docs = spark.createDataFrame([(f"d{i:04}", "mn"[i % 2], some(i % 9), some(3 + i % 7)) for i in range(700)] + [("e", "n", None, None), ("x", None, "w1", "w1 w2")], "key string, scope string, text string, words string")
+    asked = spark.createDataFrame([(f"q{i:02}", "mno"[i % 3], some(1 + i % 4)) for i in range(40)] + [("y", "n", "")], "query_id string, scope string, query_text string")
+    vector = retrieval.sparse_near(asked, docs, ["scope"], ["key"], ["query_id"], "query_text", "text")
+    keyword = retrieval.bm25(asked, docs, ["scope"], ["key"], ["query_id"], "query_text", "words")
+    whole = retrieval.top_k(retrieval.ranked_fuse(vector, keyword, ["query_id", "key"], ["query_id"]), ["query_id"], [F.round("hybrid", 9).desc(), F.col("key")], 3)
+    show = lambda df: sorted((r.query_id, r.key, round(r.hybrid, 9)) for r in df.collect())
+    want = show(whole)
+    for documents, questions in ((4096, 4096), (50, 7)):
+        monkeypatch.setattr(ranking, "DOCUMENTS", documents)
+        monkeypatch.setattr(ranking, "QUESTIONS", questions)
+        assert show(retrieval.ranked_search(asked, docs, "key", "text", "words", 3, "scope")) == want
+    assert len(want) > 70
+    assert show(retrieval.ranked_search(asked, docs.where("false"), "key", "text", "words", 3, "scope")) == []
+    plan = retrieval.ranked_search(asked, docs, "key", "text", "words", 3, "scope")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # no list is sorted whole
+
+
+def test_open_ranks_are_counted():
+    """Lists in opposite order, longer than what is kept: the best of one list is deep in the other."""
+    n = 1000
+    text, words = pa.ListArray.from_arrays(np.arange(0, 2, dtype=np.int32), pa.array([1], pa.int8())), pa.ListArray.from_arrays(np.arange(2, dtype=np.int32), pa.array([7], pa.int64()))
+    asked = pa.RecordBatch.from_arrays([pa.array(["q"]), text, words, pa.ListArray.from_arrays(np.arange(2, dtype=np.int32), pa.array([1.0]))], names=["key", "text", "words", "idf"])
+    keys = pa.array([f"d{i:04}" for i in range(n)])
+    texts = pa.array([[1] * 10 + [2] * (i // 3) for i in range(n)], pa.list_(pa.int8()))  # falls, by threes
+    docs = pa.RecordBatch.from_arrays([keys, texts, pa.array([[7]] * n, pa.list_(pa.int64())), pa.array([2 * n - i for i in range(n)], pa.int32())], names=["key", "text", "words", "length"])  # shorter is better: rises
+    for size in (n, 64):
+        out = ranking._cell(asked, (docs.slice(a, size) for a in range(0, n, size)), 4, 60, 1000.0, 1.2, 0.75)
+        want = sorted((-round(1 / (61 + i) + 1 / (60 + n - i), 9), f"d{i:04}") for i in range(n))[:4]
+        assert [(-round(s, 9), k) for k, s in zip(out.column("key").to_pylist(), out.column("score").to_pylist())] == want
